@@ -11,10 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash, mixing
+from tidemark.llm import decontaminate, minhash, mixing, pii, quality
 from tidemark.llm.common import save
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the best grade (good and not toxic) is high enough stay; the model is fitted on the rated documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, quality.graded(labels))
+    return quality.score(docs, model).where(F.col("p_best") >= quality.KEEP).select(docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document with the least id stays."""
     found = minhash.near_duplicates(docs, k=5, percent=80)
@@ -22,13 +29,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(lost.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+
+
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to the name of their kind; ``n_chars`` follows the text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies and words that each remaining document gives to the mix."""
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_filter),
     ("minhash_near_dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii", pii_redaction),
     ("mixing", mixing_stage),
 ]
 

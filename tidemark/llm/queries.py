@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, mixing, secrets
+from . import chat, decontaminate, embed_dedup, minhash, mixing, pii, quality, secrets, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +25,45 @@ def _span_digest(found: DataFrame, kinds: Sequence[str]) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    at = F.array(*(F.lit(k) for k in pii.KINDS))
+    key = lambda s: F.struct(s["start"].alias("start"), F.array_position(at, s["kind"]).alias("at"), s["kind"].alias("kind"), s["end"].alias("end"))
+    ordered = lambda spans: F.array_sort(F.transform(spans, key))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(_joined(ordered(F.col("base"))), 256).alias("base_sha256"), _joined(ordered(F.concat("base", "added"))).alias("spans"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).cast("long").alias("version"), "text")
     _, found = secrets.scan_versions(docs)
     return _span_digest(found.withColumnRenamed("path", "doc_id"), ("assign", "access", "hex"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model).select("doc_id", "expected_grade", "p_best", (F.col("p_best") >= quality.KEEP).alias("kept"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = token_counts.count_tokens(table(spark, sf_dir, "documents"), split=token_counts.lines)
+    of = lambda name: F.aggregate(F.filter("sections", lambda s: s["name"] == name), F.lit(0.0), lambda a, s: a + s["tokens"]).cast("long").alias(f"{name}_tokens")
+    return got.select("doc_id", "n_tokens", "n_crossing", of("head"), of("body"), of("tail"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
@@ -79,9 +112,34 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS norm FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), reach AS (
+  SELECT vec_id AS node, vec_id AS other FROM v
+  UNION SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.other
+), comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, comp.component_id, v.vec_id = comp.component_id AS kept
+FROM v JOIN comp ON comp.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
+        "op2_decontamination": op2_decontamination,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_secret_scan": op4_secret_scan,
+        "op5_quality": op5_quality,
+        "op6_embedding_dedup": op6_embedding_dedup,
+        "op7_token_counts": op7_token_counts,
         "op8_minhash": op8_minhash,
         "op9_chat_format": op9_chat_format,
         "op10_mixing": op10_mixing,
@@ -89,4 +147,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": OP9_SQL}
+    return {"op6_embedding_dedup": OP6_SQL, "op9_chat_format": OP9_SQL}
