@@ -1,4 +1,8 @@
-"""Boolean trees as Columns. Every leaf is true or false, never null, so NOT is safe."""
+"""Boolean trees as Columns.
+
+Under a NOT every leaf is true or false, never null. Elsewhere a null condition counts as false
+to a filter anyway, and plain comparisons reach the scan.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +29,8 @@ def literal(value: object, kind: str) -> Column:
     return F.lit(value) if kind in m.NUMERIC else F.lit(value).cast(kind)
 
 
-def leaf(p: Predicate, q: Query, tags: frozenset[str], fields: dict[str, str], ts: str = "ts") -> Column:
+def leaf(p: Predicate, q: Query, tags: frozenset[str], fields: dict[str, str], ts: str = "ts", *, safe: bool = True) -> Column:
+    known = _known if safe else lambda c: c
     if p.kind == m.TIME_RANGE:
         return between(F.col(ts), *bounds(p, q.precision))
     if p.kind in (m.TAG_EQ, m.TAG_NE, m.TAG_EXISTS, m.TAG_IN):
@@ -33,26 +38,26 @@ def leaf(p: Predicate, q: Query, tags: frozenset[str], fields: dict[str, str], t
             return _nothing(p.kind == m.TAG_NE)
         c = F.col(f"`{p.name}`")
         return {
-            m.TAG_EQ: lambda: _known(c == F.lit(p.value)),
+            m.TAG_EQ: lambda: known(c == F.lit(p.value)),
             m.TAG_NE: lambda: c.isNull() | (c != F.lit(p.value)),
             m.TAG_EXISTS: lambda: c.isNotNull(),
-            m.TAG_IN: lambda: _known(c.isin(*p.values)) if p.values else _nothing(False),
+            m.TAG_IN: lambda: known(c.isin(*p.values)) if p.values else _nothing(False),
         }[p.kind]()
     c, x = F.col(f"`{p.name}`"), literal(p.value, fields[p.name])
-    return _known({m.FIELD_EQ: c == x, m.FIELD_NE: c != x, m.FIELD_GT: c > x, m.FIELD_GTE: c >= x, m.FIELD_LT: c < x, m.FIELD_LTE: c <= x}[p.kind])
+    return known({m.FIELD_EQ: c == x, m.FIELD_NE: c != x, m.FIELD_GT: c > x, m.FIELD_GTE: c >= x, m.FIELD_LT: c < x, m.FIELD_LTE: c <= x}[p.kind])
 
 
-def tree(e: Expr, *context) -> Column:
+def tree(e: Expr, *context, safe: bool = False) -> Column:
     if e.op == "leaf":
-        return leaf(e.leaf, *context)
-    parts = [tree(c, *context) for c in e.children]
+        return leaf(e.leaf, *context, safe=safe)
+    parts = [tree(c, *context, safe=safe or e.op == "not") for c in e.children]
     if e.op == "not":
         return ~parts[0] if parts else _nothing(False)
     return reduce(and_ if e.op == "and" else or_, parts) if parts else _nothing(e.op == "and")
 
 
 def between(ts: Column, start: int | None, end: int | None) -> Column:
-    parts = [ts >= F.lit(start)] * (start is not None) + [ts <= F.lit(end)] * (end is not None)
+    parts = [ts >= F.lit(t) for t in (start,) if t is not None] + [ts <= F.lit(t) for t in (end,) if t is not None]
     return reduce(and_, parts) if parts else _nothing(True)
 
 
@@ -64,8 +69,8 @@ def bounds(p: Predicate, precision: str) -> tuple[int, int | None]:
 
 def scan_bounds(q: Query) -> tuple[int | None, int | None]:
     """The intersection of all time bounds that must hold: the query's own and those under ANDs."""
-    starts = [to_ns(q.start, q.precision)] * (q.start is not None)
-    ends = [to_ns(q.end, q.precision)] * bool(q.end)
+    starts = [to_ns(t, q.precision) for t in (q.start,) if t is not None]
+    ends = [to_ns(t, q.precision) for t in (q.end,) if t]
 
     def walk(e: Expr | None) -> None:
         if e is None:

@@ -27,7 +27,7 @@ RUNS: dict[str, Run] = {}
 SQL: dict[str, str] = {}
 
 EV = "ev AS (SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) * 1000 AS ts, value, CAST(floor(value / 5) AS BIGINT) AS bin, event_id FROM events)"
-LI = "li AS (SELECT l_returnflag, l_linestatus, epoch_us(l_shipdate) * 1000 AS ts, l_quantity, l_extendedprice, l_discount, l_orderkey, l_linenumber FROM lineitem)"
+LI = "li AS (SELECT l_returnflag, l_linestatus, epoch_us(l_shipdate) * 1000 AS ts, l_quantity, l_extendedprice, l_discount, l_orderkey, l_linenumber, l_partkey FROM lineitem)"
 OD = "od AS (SELECT o_orderstatus, o_orderpriority, epoch_us(o_orderdate) * 1000 AS ts, o_totalprice, o_orderkey FROM orders)"
 
 
@@ -41,7 +41,7 @@ def events(spark: SparkSession, sf_dir: str, tags: tuple[str, ...] = ("event_typ
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> Measurement:
-    return from_dataframe(read(spark, sf_dir, "lineitem"), "lineitem", tags=("l_returnflag", "l_linestatus"), fields=("l_quantity", "l_extendedprice", "l_discount"), ts="l_shipdate", tie=("l_orderkey", "l_linenumber"))
+    return from_dataframe(read(spark, sf_dir, "lineitem"), "lineitem", tags=("l_returnflag", "l_linestatus"), fields=("l_quantity", "l_extendedprice", "l_discount"), ts="l_shipdate", tie=("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> Measurement:
@@ -55,6 +55,19 @@ def named(df: DataFrame, digits: int | None = 6) -> DataFrame:
     return df.select(*((F.round(F.col(f"`{c}`"), digits) if kinds[c] == "double" and digits is not None else F.col(f"`{c}`")).alias(n) for c, n in plain.items()))
 
 
+def long_values(m: Measurement, q) -> DataFrame:
+    """The column shape with one double ``value``, so that no integer column has nulls."""
+    df = execute.columns(m, q)
+    values = [c for c in df.columns if c.startswith("value_")]
+    return df.withColumn("value", F.coalesce(*(F.col(v).cast("double") for v in values))).drop(*values)
+
+
+def counted_rows(m: Measurement, q) -> DataFrame:
+    """Rows with -1 for an integer that is not there."""
+    df = execute.rows(m, q)
+    return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit(-1)).cast(k).alias(c) if k == "bigint" else F.col(f"`{c}`") for c, k in df.dtypes))
+
+
 def add(name: str, run: Run, sql: str | None) -> None:
     RUNS[name] = run
     if sql:
@@ -96,7 +109,7 @@ for _name, _p, _sql in [
     on_events(f"filter_{_name}", lambda b, p=_p: b.select("value").where(p) if not hasattr(p, "op") else b.select("value").where_expr(p), f"SELECT event_type, user_id, ts, value FROM ev WHERE {_sql}")
 on_events("filter_other_field", lambda b: b.select("value").where(field_gt("bin", 5)), "SELECT event_type, user_id, ts, value FROM ev WHERE bin > 5")
 on_events("filter_other_field_sum", lambda b: b.where(field_gte("bin", 5)).aggregate("sum", "value").group_by_tags("event_type"), "SELECT event_type, min(ts) AS ts, round(sum(value), 6) AS sum_value FROM ev WHERE bin >= 5 GROUP BY 1", digits=6)
-on_events("columns_long", lambda b: b.select("value", "bin").time_range(T5, T10), f"SELECT event_type, user_id, 'value' AS field, ts, CAST(NULL AS BIGINT) AS value_bigint, value AS value_double FROM ev WHERE ts BETWEEN {T5} AND {T10} UNION ALL SELECT event_type, user_id, 'bin', ts, bin, NULL FROM ev WHERE ts BETWEEN {T5} AND {T10}", shape=execute.columns)
+on_events("columns_long", lambda b: b.select("value", "bin").time_range(T5, T10), f"SELECT event_type, user_id, 'value' AS field, ts, value FROM ev WHERE ts BETWEEN {T5} AND {T10} UNION ALL SELECT event_type, user_id, 'bin', ts, CAST(bin AS DOUBLE) FROM ev WHERE ts BETWEEN {T5} AND {T10}", shape=long_values)
 
 # --- aggregates
 
@@ -132,10 +145,10 @@ for _fn in _PLAIN:
         SQL[_name.format(_fn)] = grouped_sql("ev", EV, _v, list(_group or _tags), _fn, f"ts, {_series_of}, event_id", f"{_series_of}, ts, event_id", 6, window=_window)
 
 on_events("agg_many_series", lambda b: b.aggregate("count", "value").aggregate("mean", "value").aggregate("last", "value"), """, a AS (SELECT event_type, min(ts) AS t0, max(ts) AS t1, count(*) AS c, avg(value) AS a, last(value ORDER BY ts, event_id) AS l FROM ev GROUP BY 1)
-SELECT event_type, t0 AS ts, c AS count_value, round(a, 6) AS avg_value, CAST(NULL AS DOUBLE) AS last_value FROM a UNION ALL SELECT event_type, t1, NULL, NULL, round(l, 6) FROM a""", tags=("event_type",), digits=6)
+SELECT event_type, t0 AS ts, c AS count_value, round(a, 6) AS avg_value, CAST(NULL AS DOUBLE) AS last_value FROM a UNION ALL SELECT event_type, t1, -1, NULL, round(l, 6) FROM a""", tags=("event_type",), shape=counted_rows, digits=6)
 on_events("agg_all_fields", lambda b: b.aggregate("max", "").group_by_time(DAY).group_by_tags("event_type"), f"SELECT event_type, (ts // {DAY}) * {DAY} AS ts, max(value) AS max_value, max(bin) AS max_bin, max(event_id) AS max_event_id FROM ev GROUP BY 1, 2", digits=None)
 on_events("agg_columns_long", lambda b: b.aggregate("sum", "bin").aggregate("avg", "value").group_by_tags("event_type").group_by_time(DAY), f""", a AS (SELECT event_type, (ts // {DAY}) * {DAY} AS ts, CAST(sum(bin) AS BIGINT) AS s, round(avg(value), 6) AS a FROM ev GROUP BY 1, 2)
-SELECT event_type, 'sum(bin)' AS field, ts, s AS value_bigint, CAST(NULL AS DOUBLE) AS value_double FROM a UNION ALL SELECT event_type, 'avg(value)', ts, NULL, a FROM a""", shape=execute.columns, digits=6)
+SELECT event_type, 'sum(bin)' AS field, ts, CAST(s AS DOUBLE) AS value FROM a UNION ALL SELECT event_type, 'avg(value)', ts, a FROM a""", shape=long_values, digits=6)
 on_events("group_absent_tag", lambda b: b.aggregate("count", "value").group_by_tags("region"), "SELECT '' AS region, min(ts) AS ts, count(*) AS count_value FROM ev")
 on_events("flagship", lambda b: b.where(tag_in("event_type", "click", "purchase"), field_gt("value", 1.0), time_range(T0, T20)).aggregate("mean", "value").group_by_tags("event_type").group_by_time(DAY), f"SELECT event_type, (ts // {DAY}) * {DAY} AS ts, round(avg(value), 6) AS avg_value FROM ev WHERE event_type IN ('click', 'purchase') AND value > 1 AND ts BETWEEN {T0} AND {T20} GROUP BY 1, 2", digits=6)
 _b = "l AS (SELECT event_type, ts, value - lag(value) OVER k AS d, ts - lag(ts) OVER k AS dt FROM ev WINDOW k AS (PARTITION BY event_type ORDER BY ts, event_id))"
@@ -155,7 +168,7 @@ add("lineitem_group_sum", _fact(lineitem, lambda b: b.aggregate("sum", "l_extend
     f"WITH {LI} SELECT l_returnflag, l_linestatus, (ts // {30 * DAY}) * {30 * DAY} AS ts, round(sum(l_extendedprice), 2) AS sum_l_extendedprice, round(avg(l_quantity), 2) AS avg_l_quantity, count(l_discount) AS count_l_discount FROM li GROUP BY 1, 2, 3")
 for _fn, _v in (("increase", "l_quantity"), ("last", "l_extendedprice"), ("median", "l_quantity"), ("stddev", "l_discount")):
     add(f"lineitem_window_{_fn}", _fact(lineitem, lambda b, fn=_fn, v=_v: b.aggregate(fn, v).group_by_tags("l_returnflag").group_by_time(DAY), 4),
-        grouped_sql("li", LI, _v, ["l_returnflag"], _fn, "ts, l_linestatus, l_returnflag, l_orderkey, l_linenumber", "l_linestatus, l_returnflag, ts, l_orderkey, l_linenumber", 4, window=DAY))
+        grouped_sql("li", LI, _v, ["l_returnflag"], _fn, "ts, l_linestatus, l_returnflag, l_orderkey, l_linenumber, l_partkey, l_quantity", "l_linestatus, l_returnflag, ts, l_orderkey, l_linenumber", 4, window=DAY))
 for _fn in ("first", "rate", "delta"):
     add(f"orders_series_{_fn}", _fact(orders, lambda b, fn=_fn: b.aggregate(fn, "o_totalprice"), 4),
         grouped_sql("od", OD, "o_totalprice", ["o_orderstatus", "o_orderpriority"], _fn, "ts, o_orderpriority, o_orderstatus, o_orderkey", "o_orderpriority, o_orderstatus, ts, o_orderkey", 4))
@@ -165,9 +178,9 @@ for _fn in ("first", "rate", "delta"):
 on_events("order_desc_topk", lambda b: b.select("value").order_by_time_desc().limit(50), "SELECT event_type, user_id, ts, value FROM ev ORDER BY ts DESC, event_type, user_id, event_id LIMIT 50")
 on_events("order_asc_series_major", lambda b: b.select("value").limit(40), "SELECT event_type, user_id, ts, value FROM ev ORDER BY event_type, user_id, event_id, ts LIMIT 40")
 on_events("limit_offset_rows", lambda b: b.select("value").order_by_time_desc().offset(30).limit(20), "SELECT event_type, user_id, ts, value FROM ev ORDER BY ts DESC, event_type, user_id, event_id LIMIT 20 OFFSET 30")
-on_events("limit_offset_samples", lambda b: b.select("value", "bin").offset(25).limit(60), """, s AS (SELECT event_type, user_id, 'bin' AS field, ts, bin AS value_bigint, CAST(NULL AS DOUBLE) AS value_double FROM ev UNION ALL SELECT event_type, user_id, 'value', ts, NULL, value FROM ev)
-SELECT * FROM s ORDER BY event_type, user_id, field, ts LIMIT 60 OFFSET 25""", shape=execute.columns)
-on_events("order_desc_samples", lambda b: b.select("value").order_by_time_desc().limit(45), "SELECT event_type, user_id, 'value' AS field, ts, value AS value_double FROM ev ORDER BY event_type, user_id, ts DESC LIMIT 45", shape=execute.columns)
+on_events("limit_offset_samples", lambda b: b.select("value", "bin").offset(25).limit(60), """, s AS (SELECT event_type, user_id, 'bin' AS field, ts, CAST(bin AS DOUBLE) AS value FROM ev UNION ALL SELECT event_type, user_id, 'value', ts, value FROM ev)
+SELECT * FROM s ORDER BY event_type, user_id, field, ts LIMIT 60 OFFSET 25""", shape=long_values)
+on_events("order_desc_samples", lambda b: b.select("value").order_by_time_desc().limit(45), "SELECT event_type, user_id, 'value' AS field, ts, value FROM ev ORDER BY event_type, user_id, ts DESC LIMIT 45", shape=long_values)
 
 
 def _resumed(spark: SparkSession, sf_dir: str, descending: bool) -> DataFrame:
@@ -208,7 +221,7 @@ def _stones(spark: SparkSession) -> DataFrame:
 
 
 _DEAD = f"((write_seq <= 1 AND ts BETWEEN {T5} AND {T5 + DAY}) OR (write_seq <= 2 AND event_type = 'click' AND ts BETWEEN {T10} AND {T20}))"
-add("delete_tombstones", lambda spark, sf_dir: resolve_versions(anti_deleted(_versions(spark, sf_dir), _stones(spark), ["event_type", "user_id"], DAY), _KEYS, ["value", "bin"]), f"WITH {_VER}, live AS (SELECT * FROM ver WHERE NOT {_DEAD}) {_NEWEST.format(source='live')}")
+add("delete_tombstones", lambda spark, sf_dir: resolve_versions(anti_deleted(_versions(spark, sf_dir), _stones(spark), ["event_type", "user_id"], DAY), _KEYS, ["value", "bin"]).fillna(-1, ["bin"]), f"WITH {_VER}, live AS (SELECT * FROM ver WHERE NOT {_DEAD}), n AS ({_NEWEST.format(source='live')}) SELECT event_type, user_id, ts, value, coalesce(bin, -1) AS bin FROM n")
 add("delete_range", lambda spark, sf_dir: events(spark, sf_dir).df.where(~predicates.between(F.col("ts"), T5, T10)).select(*_KEYS, "value"), f"WITH {EV} SELECT event_type, user_id, ts, value FROM ev WHERE NOT ts BETWEEN {T5} AND {T10}")
 add("delete_by_tag", lambda spark, sf_dir: events(spark, sf_dir).df.where(~(predicates.between(F.col("ts"), T5, T20) & predicates.exact_tags({"event_type": "view"}, frozenset(("event_type", "user_id"))))).select(*_KEYS, "value"), f"WITH {EV} SELECT event_type, user_id, ts, value FROM ev WHERE NOT (ts BETWEEN {T5} AND {T20} AND event_type = 'view')")
 add("retention_cutoff", lambda spark, sf_dir: events(spark, sf_dir).scan(T20 - 7 * DAY, None).df.select(*_KEYS, "value"), f"WITH {EV} SELECT event_type, user_id, ts, value FROM ev WHERE ts >= {T20 - 7 * DAY}")
