@@ -236,3 +236,19 @@ def test_plans(spark):
     assert x.pushed == ("time", "tags", "field-stats", "columns") and x.plan_class == "aggregate"
     top = execute.explain(m, q().order_by_time_desc().limit(5).build())
     assert "TakeOrderedAndProject" in top.plan and top.plan_class == "top-k"
+
+
+def test_stats_and_cancellation(spark):
+    import threading
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.guards import cancellable, with_stats
+
+    got, stats = with_stats(execute.rows(builder(spark), q().build()), lambda df: df.collect())
+    assert (stats.rows, stats.first_ts, stats.last_ts) == (len(got), 1, 4)
+    with cancellable(spark) as cancel:
+        timer = threading.Timer(1.5, cancel)
+        timer.start()
+        with pytest.raises(Exception, match="(?i)cancel"):
+            spark.range(0, 10**13, 1, 4).select(F.sum(F.sqrt("id"))).collect()
