@@ -31,36 +31,35 @@ _SLOT = ("", "<num>", "<name>", "<unit>")
 
 
 class Template:
-    """Template words of texts; raw words are looked up once."""
+    """Template words of texts; raw words are looked up once and their traits kept in growing arrays."""
 
     def __init__(self):
         self.clear()
         self.slot_hash = np.array([0, *(xxhash.xxh64_intdigest(s) for s in _SLOT[1:])], np.uint64)
 
     def clear(self) -> None:
-        self.at, self.rows, self.table = {}, [], None
+        self.at: dict[str, int] = {}
+        self.traits = [np.empty(1 << 12, t) for t in (np.uint64, np.int8, bool, bool, bool)]
 
     def look(self, word: str) -> int:
         plain = word.strip(_OUTER)
         kind = NUMBER if any(c.isdigit() for c in plain) else NAME if plain[:1].isupper() else LITERAL
         low = plain.lower()
-        self.at[word] = n = len(self.rows)
-        self.rows.append((xxhash.xxh64_intdigest(low), kind, low in UNITS, word.rstrip("\"')]”’»")[-1:] in tuple(".!?:"), bool(plain)))
-        self.table = None
+        self.at[word] = n = len(self.at)
+        if n == len(self.traits[0]):
+            self.traits = [np.concatenate([t, np.empty_like(t)]) for t in self.traits]
+        ends = word.rstrip("\"')]”’»")[-1:] in tuple(".!?:")
+        for trait, x in zip(self.traits, (xxhash.xxh64_intdigest(low), kind, low in UNITS, ends, bool(plain)), strict=True):
+            trait[n] = x
         return n
 
     def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Raw words, their template hashes and their slot kinds; bare punctuation is no word."""
-        if len(self.rows) > 500_000:
+        if len(self.at) > 500_000:
             self.clear()
         words, get, look = text.split(), self.at.get, self.look
-        ids = np.fromiter(((i if (i := get(w)) is not None else look(w)) for w in words), np.int64, len(words))
-        if self.table is None:
-            self.table = [np.array(c, t) for c, t in zip(zip(*self.rows, strict=True), (np.uint64, np.int8, bool, bool, bool), strict=True)] if self.rows else None
-        if not words:
-            return [], np.empty(0, np.uint64), np.empty(0, np.int8)
-        h, kind, unit, ends, real = (c[ids] for c in self.table)
-        kind = kind.copy()
+        ids = np.fromiter((i if (i := get(w)) is not None else look(w) for w in words), np.int64, len(words))
+        h, kind, unit, ends, real = (t[ids] for t in self.traits)
         kind[1:][unit[1:] & (kind[:-1] == NUMBER)] = UNIT
         first = np.ones(len(words), bool)
         first[1:] = ends[:-1]
