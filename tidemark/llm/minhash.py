@@ -6,10 +6,13 @@ same ``pi`` circularly shifted by ``k``. For one shingle all coordinates are so
 piece of ``pi``.
 
 Steps: documents with equal shingle sets collapse to the least id; bands of signatures make
-buckets; each member of a bucket is checked against the bucket's hubs; then, in buckets that
-still span several components, members of different components are compared by signature in
-blocks, so no pair that could join two components goes unseen. Every link is confirmed on the
-full shingle sets.
+buckets; each member of a bucket is checked against the bucket's hubs, its least id and its
+most popular member, the one that meets most others over all its buckets and so is likely what
+the others were copied from; then, in buckets that still span several components, members of
+different components are compared in blocks, by signature and then by full set, each pair in
+the first of its buckets, so no pair that could join two components goes unseen. A block sends
+back only links that join components, however many pairs it has to try. Every link is confirmed
+on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -27,8 +30,7 @@ ROWS = 4
 #: Signatures agreeing on fewer coordinates than this share are not verified. A pair of
 #: similarity 0.8 is five standard deviations above it.
 LEAST = 0.62
-HUBS = 4
-BLOCK = 512
+BLOCK = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,16 +85,24 @@ class Circulant:
         return least.astype(np.uint16)
 
 
+def _keys(values: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Bucket keys of a band's coordinates, taken as one 64-bit value."""
+    return mixed(values + _MIX * (band.astype(np.uint64) + np.uint64(1))).view(np.int64)
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets, neither empty, have ``100 * intersection >= percent * union``."""
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets have ``100 * intersection >= percent * union``."""
 
     def check(rows: dict) -> dict:
         a, b = [], []
         for i, j, x, y in zip(rows["a"], rows["b"], rows["x"], rows["y"], strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            at = np.searchsorted(x, y)
-            both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-            if 100 * both >= percent * (len(x) + len(y) - both):
+            if linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent):
                 a.append(i)
                 b.append(j)
         return {"a": a, "b": b}
@@ -140,14 +150,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def bands(rows: dict) -> dict:
         keys = np.frombuffer(b"".join(rows["sig"]), np.uint64).reshape(-1, COORDS // ROWS)
-        keys = mixed(keys + _MIX * np.arange(1, COORDS // ROWS + 1, dtype=np.uint64)).view(np.int64)
+        keys = _keys(keys, np.arange(COORDS // ROWS))
         return {"key": keys.ravel(), "doc_id": np.repeat(np.asarray(rows["doc_id"], np.int64), COORDS // ROWS)}
 
     spread = map_rows(reps.select("doc_id", "sig"), bands, "key long, doc_id long")
-    # A bucket has several hubs, so that one odd member does not decide.
-    by = lambda i: F.min_by("doc_id", F.xxhash64("doc_id", F.lit(i)))
-    buckets = save(spread.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), by(0).alias("hub")).where("low < high"))
-    members = save(spread.join(buckets, "key"))
+    buckets = save(spread.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"))
+    members = save(spread.join(buckets, "key").select("key", "doc_id", "size", "low"))
+    met = members.groupBy("doc_id").agg(F.sum("size").alias("met"))
+    # Written first, so that the join with the members can split a hot bucket.
+    hubs = members.where("size > 2").join(met, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("met", -F.col("doc_id"))).alias("hub"))
+    members = save(members.join(save(hubs), "key", "left").withColumn("hub", F.coalesce("hub", "low")))
     pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     stars = members.select(F.explode(F.array(pair("doc_id", "low"), pair("doc_id", "hub"))).alias("p")).select("p.*").where("a < b").distinct()
     stars = save(_alike(stars, reps, percent))
@@ -165,21 +177,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = save(map_rows(rows.join(wanted.hint("shuffle_hash"), "doc_id"), full, "doc_id long, set binary").dropDuplicates(["doc_id"]))
     links = _verified(stars, sets, percent)
     found = components(links)
-    rest = _across(members, reps, found, percent)
-    if rest.limit(1).count():
-        links = links.unionByName(_verified(rest, sets, percent))
-        found = components(links)
+    more = _across(members, reps, sets, found, percent)
+    if more.limit(1).count():
+        found = components(links.unionByName(more))
     reached = reps.select("digest", F.col("doc_id").alias("node")).join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = drawn.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(reached, "digest", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _across(members: DataFrame, reps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of bucket members in different components that the hubs have not tried, if their signatures are alike."""
+def _across(members: DataFrame, reps: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links between bucket members of different components that the hubs have not tried; of those that join the same two, one for each block at least."""
     comp = members.where("size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_ = comp.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_ = save(comp.join(open_, "key").join(reps.select("doc_id", "n", "sig"), "doc_id").select("key", "size", "doc_id", "component", "n", "sig"))
+    open_ = save(open_)
+    comp = comp.withColumn("tried", (F.col("doc_id") == F.col("low")) | (F.col("doc_id") == F.col("hub"))).select("key", "size", "doc_id", "component", "tried")
+    open_ = save(comp.join(open_, "key").join(reps.select("doc_id", "n", "sig"), "doc_id").join(sets, "doc_id"))
     # Members fall into blocks; each pair of blocks is a task's work, whatever the bucket's size.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
@@ -190,17 +203,22 @@ def _across(members: DataFrame, reps: DataFrame, found: DataFrame, percent: int)
         import pyarrow as pa
 
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, COORDS)
-        doc, comp, n, mine = (table[c].to_numpy() for c in ("doc_id", "component", "n", "mine"))
-        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-        left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-        out = []
+        rows = sig.view(np.uint64)
+        doc, comp, n, mine, tried = (table[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "n", "mine", "tried"))
+        lo, hi, key = (table[c][0].as_py() for c in ("lo", "hi", "key"))
+        full = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        left, right = np.flatnonzero((mine == lo) & ~tried), np.flatnonzero((mine == hi) & ~tried)
+        comp, out = comp.copy(), []
         for i in left.tolist():
             c = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
             if lo == hi:
                 c = c[c > i]
             c = c[(sig[c] == sig[i]).mean(axis=1) >= LEAST]
-            out.append(np.stack([np.minimum(doc[c], doc[i]), np.maximum(doc[c], doc[i])]))
-        out = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-        return pa.table({"a": out[0], "b": out[1]})
-
-    return save(dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct())
+            first = (rows[c] == rows[i]).argmax(axis=1)
+            for j in c[_keys(rows[i][first], first) == key].tolist():
+                if comp[i] != comp[j] and linked(full[i], full[j], percent):
+                    comp[comp == comp[j]] = comp[i]
+                    out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+        return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
+
+    return save(dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long"))
