@@ -138,7 +138,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
                         out[c].append(v)
         return out
 
-    there = map_rows(docs, probe, _ROWS.format(kinds["doc"]))
+    # Written, so that no plan of the join reads the texts twice.
+    there = save(map_rows(docs, probe, _ROWS.format(kinds["doc"])))
     pairs = F.zip_with("slots", "item_slots", lambda d, b: F.struct(b.alias("b"), d.alias("d")))
     item = wanted.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", "h", F.col("slots").alias("item_slots"))
     met = there.join(item, ["h", "n"]).select(F.col("id").alias("doc_id"), "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), pairs.alias("slots"))
