@@ -49,6 +49,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_long_paths(spark):
+    shuffled = random.Random(4).sample(range(2000, 3000), 1000)
+    paths = [[0, *range(500, 0, -1)], list(range(1000, 1400)), shuffled]
+    links = [x for p in paths for x in zip(p, p[1:])]
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {(x.node, x.component) for x in got} == {(n, min(p)) for p in paths for n in p}
+    assert len(got) == sum(map(len, paths))
+
+
 # --- 1 personal data
 
 _BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
