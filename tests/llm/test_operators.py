@@ -149,6 +149,17 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def leaked(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), bench).collect()}
+
+
+def test_leaks_short_items(spark):
+    items = ["What is the capital of France?", "Name three primes"]
+    texts = ["History quiz\nWhat is the capital of France?", "a, What is the capital of France", "Please name three primes.", "name three large primes"]
+    assert leaked(spark, items, texts) == {(0, 0), (1, 0), (2, 1)}
+
+
 # --- 3 repeated bytes
 
 

@@ -10,6 +10,8 @@ of the item always became the same value in the document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,6 +29,7 @@ UNITS = frozenset("mm cm m km in ft mi g kg mg lb oz ml l s ms sec min h hr hour
 _OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "%<>") + "“”‘’«»…¿¡"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 LITERAL, NUMBER, NAME, UNIT = range(4)
+PLAIN, TEMPLATE = range(2)
 _SLOT = ("", "<num>", "<name>", "<unit>")
 
 
@@ -53,50 +56,66 @@ class Template:
             trait[n] = x
         return n
 
-    def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Raw words, their template hashes and their slot kinds; bare punctuation is no word."""
+    def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Raw words, their template hashes, those of the plain words and the slot kinds; bare punctuation is no word."""
         if len(self.at) > 500_000:
             self.clear()
         words, get, look = text.split(), self.at.get, self.look
         ids = np.fromiter((i if (i := get(w)) is not None else look(w) for w in words), np.int64, len(words))
-        h, kind, unit, ends, real = (t[ids] for t in self.traits)
+        low, kind, unit, ends, real = (t[ids] for t in self.traits)
         kind[1:][unit[1:] & (kind[:-1] == NUMBER)] = UNIT
         first = np.ones(len(words), bool)
         first[1:] = ends[:-1]
         kind[first & (kind == NAME)] = LITERAL
-        h = np.where(kind == LITERAL, h, self.slot_hash[kind])
+        h = np.where(kind == LITERAL, low, self.slot_hash[kind])
         if not real.all():
             words = [w for w, r in zip(words, real.tolist(), strict=True) if r]
-            h, kind = h[real], kind[real]
-        return words, h, kind
+            h, low, kind = h[real], low[real], kind[real]
+        return words, h, low, kind
+
 
+def forms(h: np.ndarray, low: np.ndarray, kind: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Form, starts, hashes and slot kinds of windows of ``n`` words.
 
-def windows(h: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of windows of ``n`` words, at least half of them literal."""
+    The template form is for windows of at least half literal words. The plain form hashes the
+    lower-cased words and has no slots; a template without slots is its window's plain form.
+    """
     m = len(h) - n + 1
     if m <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    out = np.full(m, n, np.uint64)
+        return
+    slots = np.concatenate([[0], np.cumsum(kind != LITERAL)])
+    slots = slots[n:] - slots[:-n]
+    rich = 2 * slots <= n
+    none = np.full(len(h), LITERAL, np.int8)
+    at = np.flatnonzero(rich | (n < LEAST_WORDS))
+    yield PLAIN, at, _rolled(low, n, at), none
+    if n >= LEAST_WORDS:
+        at = np.flatnonzero(rich & (slots > 0))
+        yield TEMPLATE, at, _rolled(h, n, at), kind
+
+
+def _rolled(h: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    out = np.full(len(h) - n + 1, n, np.uint64)
     for j in range(n):
-        out = out * _MIX + h[j : m + j]
-    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    at = np.flatnonzero(2 * (literal[n:] - literal[:-n]) >= n)
-    return at, mixed(out[at])
+        out = out * _MIX + h[j : len(h) - n + 1 + j]
+    return mixed(out[at])
 
 
 def _slots(words: list[str], kind: np.ndarray, at: int, n: int) -> list[str]:
     return [f"{_SLOT[k]}{w.strip(_OUTER)}" for w, k in zip(words[at : at + n], kind[at : at + n].tolist(), strict=True) if k]
 
 
-_ROWS = "id {0}, n int, at long, h long, slots array<string>"
+_ROWS = "id {0}, n int, at long, h long, slots array<string>, form int"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = 0.5, consistency: float = 0.75) -> DataFrame:
     """Rows ``(doc_id, item_id, n_windows, n_matched, coverage, n_slots, consistency)`` of the leaks.
 
     A leak is a document that holds, on diagonals of consistent slots, at least ``coverage`` of
-    an item's windows. Items of fewer than ``WINDOW`` words are one window; those of fewer than
-    ``LEAST_WORDS`` words, null or empty ones name no passage and match nothing. Null document
+    an item's windows; windows equal word by word count whatever the slots around them. Items of
+    fewer than ``WINDOW`` words are one window; those of fewer than ``LEAST_WORDS`` words match
+    only word by word, apart from case and outer punctuation. Items null, empty or of bare
+    punctuation match nothing. Null document
     text: empty. Null ids: left out. Rows that repeat an id are one document's or item's
     passages. Empty inputs: no rows. Other columns are not read.
     """
@@ -106,44 +125,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     kinds = {c: dict(x.dtypes)["id"] for c, x in (("doc", docs), ("item", items))}
 
     def index(rows: dict) -> dict:
-        template, out = Template(), {"id": [], "n": [], "at": [], "h": [], "slots": []}
+        template, out = Template(), {"id": [], "n": [], "at": [], "h": [], "slots": [], "form": []}
         for i, text in zip(rows["id"], rows["text"], strict=True):
-            words, h, kind = template(text)
-            if len(h) < LEAST_WORDS:
-                continue
-            n = min(WINDOW, len(h))
-            for at, x in zip(*(v.tolist() for v in windows(h, kind, n)), strict=True):
-                for c, v in zip(out, (i, n, at, x if x < 1 << 63 else x - (1 << 64), _slots(words, kind, at, n)), strict=True):
-                    out[c].append(v)
+            words, *hashed = template(text)
+            n = min(WINDOW, len(words))
+            for form, at, x, kind in forms(*hashed, n) if n else ():
+                for a, y in zip(at.tolist(), x.view(np.int64).tolist(), strict=True):
+                    for c, v in zip(out, (i, n, a, y, _slots(words, kind, a, n), form), strict=True):
+                        out[c].append(v)
         return out
 
     wanted = save(map_rows(items, index, _ROWS.format(kinds["item"])))
-    sizes = [r.n for r in wanted.select("n").distinct().collect()]  # at most WINDOW - LEAST_WORDS + 1 of them
+    sizes = [r.n for r in wanted.select("n").distinct().collect()]  # at most WINDOW of them
     sent = None
     known = wanted.select("h").distinct().limit(MAX_SENT + 1)
     if known.count() <= MAX_SENT:
         sent = spark.sparkContext.broadcast(np.sort(known.toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
 
     def probe(rows: dict) -> dict:
-        template, out = Template(), {"id": [], "n": [], "at": [], "h": [], "slots": []}
+        template, out = Template(), {"id": [], "n": [], "at": [], "h": [], "slots": [], "form": []}
         for i, text in zip(rows["id"], rows["text"], strict=True):
-            words, h, kind = template(text)
+            words, *hashed = template(text)
             for n in sizes:
-                at, x = windows(h, kind, n)
-                if sent is not None and len(x) and len(sent.value):
-                    hit = sent.value[np.minimum(np.searchsorted(sent.value, x), len(sent.value) - 1)] == x
-                    at, x = at[hit], x[hit]
-                for a, y in zip(at.tolist(), x.view(np.int64).tolist(), strict=True):
-                    for c, v in zip(out, (i, n, a, y, _slots(words, kind, a, n)), strict=True):
-                        out[c].append(v)
+                for form, at, x, kind in forms(*hashed, n):
+                    if sent is not None and len(x) and len(sent.value):
+                        hit = sent.value[np.minimum(np.searchsorted(sent.value, x), len(sent.value) - 1)] == x
+                        at, x = at[hit], x[hit]
+                    for a, y in zip(at.tolist(), x.view(np.int64).tolist(), strict=True):
+                        for c, v in zip(out, (i, n, a, y, _slots(words, kind, a, n), form), strict=True):
+                            out[c].append(v)
         return out
 
     # Written, so that no plan of the join reads the texts twice.
     there = save(map_rows(docs, probe, _ROWS.format(kinds["doc"])))
     pairs = F.zip_with("slots", "item_slots", lambda d, b: F.struct(b.alias("b"), d.alias("d")))
-    item = wanted.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", "h", F.col("slots").alias("item_slots"))
-    met = there.join(item, ["h", "n"]).select(F.col("id").alias("doc_id"), "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), pairs.alias("slots"))
-    line = met.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    item = wanted.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", "h", F.col("slots").alias("item_slots"), F.col("form").alias("item_form"))
+    met = there.join(item, ["h", "n"]).select(F.col("id").alias("doc_id"), "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), pairs.alias("slots"), F.greatest("form", "item_form").alias("form"))
+    line = met.groupBy("doc_id", "item_id", "diagonal", "form").agg(F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     line = line.withColumn("values", F.size(F.array_distinct(F.transform("slots", lambda s: s["b"]))))
     line = line.withColumn("same", F.when(F.size("slots") == 0, 1.0).otherwise(F.col("values") / F.size("slots"))).where(F.col("same") >= consistency)
     found = line.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_matched"), F.max("values").cast("long").alias("n_slots"), F.min("same").alias("consistency"))
