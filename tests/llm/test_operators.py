@@ -160,6 +160,12 @@ def test_leaks_short_items(spark):
     assert leaked(spark, items, texts) == {(0, 0), (1, 0), (2, 1)}
 
 
+def test_leaks_renamed_subjects(spark):
+    item = "Tom has 5 red apples. Anna has 3 green apples. Bob has 12 ripe pears. How many fruits do they have together?"
+    renamed = "Eve has 7 red apples. Carl has 9 green apples. Zoe has 31 ripe pears. How many fruits do they have together?"
+    assert leaked(spark, [item], [renamed, item, item.replace("apples", "chairs").replace("has", "sold")]) == {(0, 0), (1, 0)}
+
+
 # --- 3 repeated bytes
 
 

@@ -29,8 +29,9 @@ UNITS = frozenset("mm cm m km in ft mi g kg mg lb oz ml l s ms sec min h hr hour
 _OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "%<>") + "“”‘’«»…¿¡"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 LITERAL, NUMBER, NAME, UNIT = range(4)
-PLAIN, TEMPLATE = range(2)
+PLAIN, TEMPLATE, RENAMED = range(3)
 _SLOT = ("", "<num>", "<name>", "<unit>")
+_NAME_HASH = np.uint64(xxhash.xxh64_intdigest(_SLOT[NAME]))
 
 
 class Template:
@@ -56,8 +57,8 @@ class Template:
             trait[n] = x
         return n
 
-    def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Raw words, their template hashes, those of the plain words and the slot kinds; bare punctuation is no word."""
+    def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Raw words, their template hashes, those of the plain words, the slot kinds and which literals may be names; bare punctuation is no word."""
         if len(self.at) > 500_000:
             self.clear()
         words, get, look = text.split(), self.at.get, self.look
@@ -66,25 +67,26 @@ class Template:
         kind[1:][unit[1:] & (kind[:-1] == NUMBER)] = UNIT
         first = np.ones(len(words), bool)
         first[1:] = ends[:-1]
-        kind[first & (kind == NAME)] = LITERAL
+        named = first & (kind == NAME)
+        kind[named] = LITERAL
         h = np.where(kind == LITERAL, low, self.slot_hash[kind])
         if not real.all():
             words = [w for w, r in zip(words, real.tolist(), strict=True) if r]
-            h, low, kind = h[real], low[real], kind[real]
-        return words, h, low, kind
+            h, low, kind, named = h[real], low[real], kind[real], named[real]
+        return words, h, low, kind, named
 
 
-def forms(h: np.ndarray, low: np.ndarray, kind: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def forms(h: np.ndarray, low: np.ndarray, kind: np.ndarray, named: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Form, starts, hashes and slot kinds of windows of ``n`` words.
 
     The template form is for windows of at least half literal words. The plain form hashes the
-    lower-cased words and has no slots; a template without slots is its window's plain form.
+    lower-cased words and has no slots; a template without slots is its window's plain form. The renamed form
+    takes capitalised words that start a sentence for names, too.
     """
     m = len(h) - n + 1
     if m <= 0:
         return
-    slots = np.concatenate([[0], np.cumsum(kind != LITERAL)])
-    slots = slots[n:] - slots[:-n]
+    slots = _count(kind != LITERAL, n)
     rich = 2 * slots <= n
     none = np.full(len(h), LITERAL, np.int8)
     at = np.flatnonzero(rich | (n < LEAST_WORDS))
@@ -92,6 +94,15 @@ def forms(h: np.ndarray, low: np.ndarray, kind: np.ndarray, n: int) -> Iterator[
     if n >= LEAST_WORDS:
         at = np.flatnonzero(rich & (slots > 0))
         yield TEMPLATE, at, _rolled(h, n, at), kind
+        if named.any():
+            more = _count(named, n)
+            at = np.flatnonzero((2 * (slots + more) <= n) & (more > 0))
+            yield RENAMED, at, _rolled(np.where(named, _NAME_HASH, h), n, at), np.where(named, NAME, kind)
+
+
+def _count(x: np.ndarray, n: int) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(x)])
+    return total[n:] - total[:-n]
 
 
 def _rolled(h: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
@@ -161,6 +172,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     pairs = F.zip_with("slots", "item_slots", lambda d, b: F.struct(b.alias("b"), d.alias("d")))
     item = wanted.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", "h", F.col("slots").alias("item_slots"), F.col("form").alias("item_form"))
     met = there.join(item, ["h", "n"]).select(F.col("id").alias("doc_id"), "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), pairs.alias("slots"), F.greatest("form", "item_form").alias("form"))
+    # Lines of templates are judged alone and once more with the renamed windows beside them.
+    lines = F.when(F.col("form") == TEMPLATE, F.array(F.lit(TEMPLATE), F.lit(RENAMED))).otherwise(F.array("form"))
+    met = met.withColumn("form", F.explode(lines))
     line = met.groupBy("doc_id", "item_id", "diagonal", "form").agg(F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     line = line.withColumn("values", F.size(F.array_distinct(F.transform("slots", lambda s: s["b"]))))
     line = line.withColumn("same", F.when(F.size("slots") == 0, 1.0).otherwise(F.col("values") / F.size("slots"))).where(F.col("same") >= consistency)
