@@ -166,6 +166,11 @@ def test_leaks_renamed_subjects(spark):
     assert leaked(spark, [item], [renamed, item, item.replace("apples", "chairs").replace("has", "sold")]) == {(0, 0), (1, 0)}
 
 
+def test_leaks_items_of_few_literals(spark):
+    items = ["The Great Gatsby Was Written By F. Scott Fitzgerald In Which Famous Year", "1 2 3 5 8 13 21 34 55 89"]
+    assert leaked(spark, items, [f"Quiz, {items[0]}", f"row\n{items[1]}", "2 3 4 6 9 14 22 35 56 90"]) == {(0, 0), (1, 1)}
+
+
 # --- 3 repeated bytes
 
 

@@ -79,20 +79,20 @@ class Template:
 def forms(h: np.ndarray, low: np.ndarray, kind: np.ndarray, named: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Form, starts, hashes and slot kinds of windows of ``n`` words.
 
-    The template form is for windows of at least half literal words. The plain form hashes the
-    lower-cased words and has no slots; a template without slots is its window's plain form. The renamed form
-    takes capitalised words that start a sentence for names, too.
+    The template form is for windows of at least half literal words. Every window has the plain
+    form: it hashes the lower-cased words and has no slots; a template without slots is its
+    window's plain form. The renamed form takes capitalised words that start a sentence for
+    names, too.
     """
     m = len(h) - n + 1
     if m <= 0:
         return
     slots = _count(kind != LITERAL, n)
-    rich = 2 * slots <= n
     none = np.full(len(h), LITERAL, np.int8)
-    at = np.flatnonzero(rich | (n < LEAST_WORDS))
+    at = np.arange(m)
     yield PLAIN, at, _rolled(low, n, at), none
     if n >= LEAST_WORDS:
-        at = np.flatnonzero(rich & (slots > 0))
+        at = np.flatnonzero((2 * slots <= n) & (slots > 0))
         yield TEMPLATE, at, _rolled(h, n, at), kind
         if named.any():
             more = _count(named, n)
@@ -123,8 +123,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     """Rows ``(doc_id, item_id, n_windows, n_matched, coverage, n_slots, consistency)`` of the leaks.
 
     A leak is a document that holds, on diagonals of consistent slots, at least ``coverage`` of
-    an item's windows; windows equal word by word count whatever the slots around them. Items of
-    fewer than ``WINDOW`` words are one window; those of fewer than ``LEAST_WORDS`` words match
+    an item's windows, or of those of them that are at least half literal words; ``coverage`` is
+    the greater share, the counts are of all windows. Windows equal word by word count whatever
+    the slots around them. Items of fewer than ``WINDOW`` words are one window; those of fewer than ``LEAST_WORDS`` words match
     only word by word, apart from case and outer punctuation. Items null, empty or of bare
     punctuation match nothing. Null document
     text: empty. Null ids: left out. Rows that repeat an id are one document's or item's
@@ -136,17 +137,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     kinds = {c: dict(x.dtypes)["id"] for c, x in (("doc", docs), ("item", items))}
 
     def index(rows: dict) -> dict:
-        template, out = Template(), {"id": [], "n": [], "at": [], "h": [], "slots": [], "form": []}
+        template, out = Template(), {"id": [], "n": [], "at": [], "h": [], "slots": [], "form": [], "rich": []}
         for i, text in zip(rows["id"], rows["text"], strict=True):
             words, *hashed = template(text)
             n = min(WINDOW, len(words))
+            rich = (2 * _count(hashed[2] != LITERAL, n) <= n).tolist() if n else []
             for form, at, x, kind in forms(*hashed, n) if n else ():
                 for a, y in zip(at.tolist(), x.view(np.int64).tolist(), strict=True):
-                    for c, v in zip(out, (i, n, a, y, _slots(words, kind, a, n), form), strict=True):
+                    for c, v in zip(out, (i, n, a, y, _slots(words, kind, a, n), form, rich[a]), strict=True):
                         out[c].append(v)
         return out
 
-    wanted = save(map_rows(items, index, _ROWS.format(kinds["item"])))
+    wanted = save(map_rows(items, index, _ROWS.format(kinds["item"]) + ", rich boolean"))
     sizes = [r.n for r in wanted.select("n").distinct().collect()]  # at most WINDOW of them
     sent = None
     known = wanted.select("h").distinct().limit(MAX_SENT + 1)
@@ -170,15 +172,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     # Written, so that no plan of the join reads the texts twice.
     there = save(map_rows(docs, probe, _ROWS.format(kinds["doc"])))
     pairs = F.zip_with("slots", "item_slots", lambda d, b: F.struct(b.alias("b"), d.alias("d")))
-    item = wanted.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", "h", F.col("slots").alias("item_slots"), F.col("form").alias("item_form"))
-    met = there.join(item, ["h", "n"]).select(F.col("id").alias("doc_id"), "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), pairs.alias("slots"), F.greatest("form", "item_form").alias("form"))
+    item = wanted.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", "h", F.col("slots").alias("item_slots"), F.col("form").alias("item_form"), "rich")
+    met = there.join(item, ["h", "n"]).select(F.col("id").alias("doc_id"), "item_id", "item_at", "rich", (F.col("at") - F.col("item_at")).alias("diagonal"), pairs.alias("slots"), F.greatest("form", "item_form").alias("form"))
     # Lines of templates are judged alone and once more with the renamed windows beside them.
     lines = F.when(F.col("form") == TEMPLATE, F.array(F.lit(TEMPLATE), F.lit(RENAMED))).otherwise(F.array("form"))
     met = met.withColumn("form", F.explode(lines))
-    line = met.groupBy("doc_id", "item_id", "diagonal", "form").agg(F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    line = met.groupBy("doc_id", "item_id", "diagonal", "form").agg(F.collect_set("item_at").alias("at"), F.collect_set(F.when(F.col("rich"), F.col("item_at"))).alias("rich"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     line = line.withColumn("values", F.size(F.array_distinct(F.transform("slots", lambda s: s["b"]))))
     line = line.withColumn("same", F.when(F.size("slots") == 0, 1.0).otherwise(F.col("values") / F.size("slots"))).where(F.col("same") >= consistency)
-    found = line.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_matched"), F.max("values").cast("long").alias("n_slots"), F.min("same").alias("consistency"))
-    total = wanted.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("n_windows"))
-    out = found.join(total, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    found = line.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_matched"), F.size(F.array_distinct(F.flatten(F.collect_list("rich")))).alias("rich_matched"), F.max("values").cast("long").alias("n_slots"), F.min("same").alias("consistency"))
+    total = wanted.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("n_windows"), F.countDistinct(F.when(F.col("rich"), F.col("at"))).alias("n_rich"))
+    out = found.join(total, "item_id").withColumn("coverage", F.greatest(F.col("n_matched") / F.col("n_windows"), F.when(F.col("n_rich") > 0, F.col("rich_matched") / F.col("n_rich"))))
     return out.where(F.col("coverage") >= coverage).select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "n_slots", "consistency")
