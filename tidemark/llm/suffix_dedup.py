@@ -13,14 +13,16 @@ suffix of a corpus is more than is needed:
    ``log2(LENGTH)`` steps; a mergesort runs over all groups of a batch at once; neighbours that
    agree over ``LENGTH`` bytes repeat. Their bytes are compared, and a group with a collision is
    sorted by its bytes.
-   A gram with very many distinct contexts is not sorted in one task: its windows are counted
-   by 128-bit digest in a distributed aggregation.
+   A gram with very many distinct contexts is sorted in chunks. A chunk settles the windows
+   that repeat inside it and hands on one of each kind with its hash; those whose hash another
+   chunk hands on too are sorted again, now only against each other, until no group needs chunks.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,10 @@ from .minhash import mixed
 
 LENGTH = 400
 GRAM = 200
-#: Grams with more distinct contexts than this are counted across tasks.
+#: A gram with more distinct contexts than this is sorted in chunks of about so many.
 CROWD = 2048
+#: So many windows are sorted at a time.
+WINDOWS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -81,13 +85,14 @@ def grams(data: np.ndarray, powers: Powers, length: int, gram: int) -> tuple[np.
     return pick[first], first, last, g[pick[first]]
 
 
-def suffix_sort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+def suffix_sort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int, powers: Powers, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sort suffixes by group and then by their first ``length`` bytes.
 
-    ``group`` ascends. Returns the order, and for each place whether the suffix there equals
-    the one before it (of the same group) in all ``length`` bytes.
+    ``group`` ascends; ``h`` are the prefix hashes of ``data``, if they are known. Returns the
+    order, and for each place whether the suffix there equals the one before it (of the same
+    group) in all ``length`` bytes.
     """
-    h = prefix_hashes(data, powers)
+    h = prefix_hashes(data, powers) if h is None else h
     n = len(starts)
 
     def agree(i: np.ndarray, j: np.ndarray, k: np.ndarray | int) -> np.ndarray:
@@ -150,54 +155,101 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length:
     return order, equal
 
 
-def _repeats(table: pa.Table, length: int, powers: Powers) -> dict:
-    """Intervals of the unsettled members of whole groups: runs of windows that some other member has too."""
+def _windows(table: pa.Table, length: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows of whole groups as (member, shift, group), about ``most`` at a time; those of one piece and offset stay together."""
+    at, first, last, key = (table[c].to_numpy() for c in ("at", "first", "last", "key"))
+    count = (last - first + 1).astype(np.int64)
+    heads = np.concatenate([np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), [len(key)]]) if len(key) else np.zeros(1, np.int64)
+    total = np.concatenate([[0], np.cumsum(count)])
+    begin = 0
+    while begin < len(heads) - 1:
+        end = begin + 1
+        while end < len(heads) - 1 and total[heads[end + 1]] - total[heads[begin]] <= most:
+            end += 1
+        rows = np.arange(heads[begin], heads[end])
+        # Offsets of the gram in its windows run from at - last to at - first.
+        low, high = int((at[rows] - last[rows]).min()), int((at[rows] - first[rows]).max())
+        cuts = np.linspace(low, high + 1, -(-int(total[heads[end]] - total[heads[begin]]) // most) + 1).astype(np.int64)
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            a, b = np.maximum(first[rows], at[rows] - hi + 1), np.minimum(last[rows], at[rows] - lo)
+            n = np.maximum(b - a + 1, 0).astype(np.int64)
+            member = np.repeat(rows, n)
+            shift = np.arange(len(member)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a - first[rows], n)
+            offset = at[member] - first[member] - shift
+            order = np.lexsort((offset, key[member]))
+            member, shift, offset = member[order], shift[order], offset[order]
+            if len(member):
+                yield member, shift, np.cumsum(np.concatenate([[True], (key[member[1:]] != key[member[:-1]]) | (offset[1:] != offset[:-1])]))
+        begin = end
+
+
+def _repeats(table: pa.Table, length: int, powers: Powers, most: int = WINDOWS) -> Iterator[pa.RecordBatch]:
+    """Runs of windows that some other member of their piece has too, and of a salted piece one window of each kind."""
     context = table["context"].to_pylist()
     data = np.frombuffer(b"".join(context), np.uint8)
     base = np.concatenate([[0], np.cumsum([len(c) for c in context])])[:-1].astype(np.int64)
-    at, first, last, fp = (table[c].to_numpy() for c in ("at", "first", "last", "fp"))
-    count = last - first + 1
-    member = np.repeat(np.arange(len(fp)), count)
-    shift = np.arange(len(member)) - np.repeat(np.cumsum(count) - count, count)
-    offset = at[member] - first[member] - shift
-    order = np.lexsort((offset, fp[member]))
-    member, shift, offset = member[order], shift[order], offset[order]
-    f = fp[member]
-    head = np.concatenate([[True], (f[1:] != f[:-1]) | (offset[1:] != offset[:-1])])
-    group = np.cumsum(head)
-    alone = np.bincount(group)[group] == 1
-    member, shift, group = member[~alone], shift[~alone], group[~alone]
-    order, equal = suffix_sort(data, base[member] + shift, group, length, powers)
-    twice = equal | np.concatenate([equal[1:], [False]]) if len(equal) else equal
-    who = order[twice]
-    who = who[table["once"].to_numpy(zero_copy_only=False)[member[who]]]
-    m, s = member[who], first[member[who]] + shift[who]
-    by = np.lexsort((s, m))
-    m, s = m[by], s[by]
-    cut = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (s[1:] != s[:-1] + 1)])) if len(m) else np.empty(0, np.int64)
-    end = np.concatenate([cut[1:] - 1, [len(m) - 1]]) if len(m) else cut
-    return {"rid": table["rid"].take(pa.array(m[cut])), "start": s[cut], "end": s[end] + length}
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches ordered by ``fp``, of about ``most`` bytes each."""
+    del context
+    first, at, once, salted = (table[c].to_numpy() for c in ("first", "at", "once", "salted"))
+    h = prefix_hashes(data, powers)
+    powers.need(len(h))
+    for member, shift, group in _windows(table, length, most):
+        sole = np.bincount(group)[group] == 1
+        here = salted[member] & sole
+        reps = [(member[here], shift[here])]
+        member, shift, group = member[~sole], shift[~sole], group[~sole]
+        order, equal = suffix_sort(data, base[member] + shift, group, length, powers, h)
+        reps.append((member[x], shift[x]) if len(x := order[~equal][salted[member[order[~equal]]]]) else (member[:0], shift[:0]))
+        who = order[equal | np.concatenate([equal[1:], [False]])] if len(equal) else order
+        who = who[once[member[who]]]
+        m, s = member[who], first[member[who]] + shift[who]
+        by = np.lexsort((s, m))
+        m, s = m[by], s[by]
+        cut = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (s[1:] != s[:-1] + 1)])) if len(m) else np.empty(0, np.int64)
+        end = np.concatenate([cut[1:] - 1, [len(m) - 1]]) if len(m) else cut
+        yield _found(table, m[cut], s[cut], s[end] + length)
+        m, s = (np.concatenate(x) for x in zip(*reps, strict=True))
+        if len(m):
+            i = base[m] + s
+            yield _found(table, m, first[m] + s, first[m] + s + length, at[m] - first[m] - s, mixed((h[i + length] - h[i]) * powers.down[i]).view(np.int64))
+
+
+#: A picked gram: its piece of the sort, whether it stands for itself alone, its place and first and last window.
+_MEMBER = ("piece", "salt", "salted", "once", "at", "first", "last")
+_MEMBER_TYPES = "piece:long,salt:int,salted:boolean,once:boolean,at:int,first:int,last:int"
+#: A run of repeated windows; or, with ``h``, one window that other chunks of its piece may hold too.
+_FOUND = "rid string, start int, end int, piece long, at int, h long, once boolean"
+
+
+def _found(table: pa.Table, member: np.ndarray, start: np.ndarray, end: np.ndarray, offset: np.ndarray | None = None, h: np.ndarray | None = None) -> pa.RecordBatch:
+    take = lambda c: (x.combine_chunks() if isinstance(x := table[c].take(pa.array(member)), pa.ChunkedArray) else x)
+    none = pa.nulls(len(member), pa.int64())
+    at = pa.nulls(len(member), pa.int32()) if offset is None else pa.array(start + offset, pa.int32())
+    columns = [take("rid").cast(pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), none if h is None else take("piece"), at, none if h is None else pa.array(h), take("once")]
+    return pa.RecordBatch.from_arrays(columns, names=["rid", "start", "end", "piece", "at", "h", "once"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches ordered by ``piece`` and ``salt``, of about ``most`` bytes each, with their number as ``key``."""
     held: list[pa.RecordBatch] = []
+    size, number, last = 0, 0, None
     for batch in batches:
-        at = 0
-        fp = batch["fp"].to_numpy()
-        while at < len(fp):
-            n = min(len(fp) - at, 4096)
-            held.append(batch.slice(at, n))
-            at += n
-            if sum(b.nbytes for b in held) > most:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            piece, salt = part["piece"].to_numpy(), part["salt"].to_numpy()
+            new = np.concatenate([[last is None or last != (piece[0], salt[0])], (piece[1:] != piece[:-1]) | (salt[1:] != salt[:-1])])
+            key = number + np.cumsum(new)
+            number, last = int(key[-1]), (piece[-1], salt[-1])
+            held.append(part.append_column("key", pa.array(key)))
+            size += part.nbytes
+            if size > most:
                 whole = pa.Table.from_batches(held)
-                x = whole["fp"].to_numpy()
-                cut = int(np.searchsorted(x, x[-1]))
+                cut = int(np.searchsorted(whole["key"].to_numpy(), number))
                 if cut:
-                    yield whole.slice(0, cut)
-                    held = whole.slice(cut).combine_chunks().to_batches()
+                    yield whole.slice(0, cut).combine_chunks()
+                    held = pa.Table.from_batches([b.slice(0) for b in whole.slice(cut).combine_chunks().to_batches()]).to_batches()
+                    size = sum(b.nbytes for b in held)
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -230,55 +282,50 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kind = dict(rows.dtypes)["doc_id"]
     drawn = save(map_rows(rows, sample, f"doc_id {kind}, rid string, n_bytes long, sha string, picked array<struct<fp:long,context:long,at:int,first:int,last:int>>"))
     spread = drawn.select("rid", F.explode("picked").alias("p"))
-    often = spread.select("p.fp").groupBy("fp").count().where("count > 1").select("fp")
+    often = save(spread.select("p.fp").groupBy("fp").count().where("count > 1").select("fp"))
     again = save(spread.select("rid", "p.*").join(often, "fp"))
     kinds = save(again.groupBy("fp", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at", "first", "last")).alias("one")))
-    settled = again.join(kinds.where("n > 1").select("fp", "context"), ["fp", "context"]).select("rid", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    settled = again.join(save(kinds.where("n > 1").select("fp", "context")), ["fp", "context"]).select("rid", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     settled = settled.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    open_ = kinds.where("n = 1").select("fp").distinct()
-    crowds = kinds.join(open_, "fp").groupBy("fp").agg(F.count("*").alias("members"))
-    members = kinds.join(crowds, "fp").select("fp", (F.col("n") == 1).alias("once"), (F.col("members") > crowd).alias("crowd"), "one.*")
-    members = members.groupBy("rid").agg(F.collect_list(F.struct("fp", "once", "crowd", "at", "first", "last")).alias("members"))
+    # Written before their joins, so that a very frequent gram can be split there.
+    sizes = save(kinds.groupBy("fp").agg(F.count("*").alias("members"), F.count(F.when(F.col("n") == 1, 1)).alias("open")).where("open > 0").select("fp", "members"))
+    chunk = F.pmod(F.xxhash64("one"), F.ceil(F.col("members") / crowd)).cast("int")
+    members = kinds.join(sizes, "fp").select(F.col("fp").alias("piece"), chunk.alias("salt"), (F.col("members") > crowd).alias("salted"), (F.col("n") == 1).alias("once"), "one.*")
+    members = members.groupBy("rid").agg(F.collect_list(F.struct(*_MEMBER)).alias("members"))
     met = save(settled.join(members, "rid", "full"))
     # The texts move once; from here on only documents with some repeated gram.
-    held = save(rows.join(met.hint("shuffle_hash"), "rid").select("rid", "text", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.coalesce("members", F.array().cast("array<struct<fp:long,once:boolean,crowd:boolean,at:int,first:int,last:int>>")).alias("members")).dropDuplicates(["rid"]))
+    held = save(rows.join(met.hint("shuffle_hash"), "rid").select("rid", "text", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.coalesce("members", F.array().cast(f"array<struct<{_MEMBER_TYPES}>>")).alias("members")).dropDuplicates(["rid"]))
 
     def contexts(rows: dict) -> dict:
-        out = {c: [] for c in ("rid", "fp", "once", "crowd", "at", "first", "last", "context")}
+        out = {c: [] for c in ("rid", *_MEMBER, "context")}
         for rid, text, members in zip(rows["rid"], rows["text"], rows["members"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for m in members:
-                for c in ("fp", "once", "crowd", "at", "first", "last"):
+                for c in _MEMBER:
                     out[c].append(m[c])
                 out["rid"].append(rid)
                 out["context"].append(raw[m["first"] : m["last"] + length])
         return out
 
-    around = save(map_rows(held.where(F.size("members") > 0).select("rid", "text", "members"), contexts, "rid string, fp long, once boolean, crowd boolean, at int, first int, last int, context binary"))
-    spans = "rid string, start int, end int"
-
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for table in _grouped(batches):
-            got = _repeats(table, length, powers)
-            rid = got["rid"].combine_chunks() if isinstance(got["rid"], pa.ChunkedArray) else got["rid"]
-            yield pa.RecordBatch.from_arrays([rid.cast(pa.string()), pa.array(got["start"], pa.int32()), pa.array(got["end"], pa.int32())], names=["rid", "start", "end"])
-
-    sorted_ = around.where("not crowd").repartition("fp").sortWithinPartitions("fp").mapInArrow(sort, spans)
-
-    def digests(rows: dict) -> dict:
-        out = {c: [] for c in ("rid", "fp", "once", "offset", "start", "digest")}
-        for rid, fp, once, at, first, last, c in zip(*(rows[x] for x in ("rid", "fp", "once", "at", "first", "last", "context")), strict=True):
-            for s in range(last - first + 1):
-                for k, v in zip(out, (rid, fp, once, at - first - s, first + s, xxhash.xxh3_128_digest(c[s : s + length])), strict=True):
-                    out[k].append(v)
-        return out
-
-    crowded = around.where("crowd").select("rid", "fp", "once", "at", "first", "last", "context")
-    wide = map_rows(crowded, digests, "rid string, fp long, once boolean, offset int, start int, digest binary")
-    twice = wide.groupBy("fp", "offset", "digest").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    counted = wide.where("once").join(twice, ["fp", "offset", "digest"]).select("rid", "start", (F.col("start") + length).alias("end"))
-    more = save(sorted_.unionByName(counted)).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("more"))
+            yield from _repeats(table, length, powers)
+
+    around, runs = held.where(F.size("members") > 0).select("rid", "text", "members"), []
+    while True:
+        around = save(map_rows(around, contexts, f"rid string, {_MEMBER_TYPES.replace(':', ' ')}, context binary"))
+        got = save(around.repartition("piece", "salt").sortWithinPartitions("piece", "salt").mapInArrow(sort, _FOUND))
+        runs.append(got.where("h is null").select("rid", "start", "end"))
+        handed = got.where("h is not null")
+        again = save(handed.groupBy("piece", F.expr("at - start").alias("offset"), "h").agg(F.count("*").alias("members")).where("members > 1"))
+        if not again.limit(1).count():
+            break
+        chunk = F.pmod(F.xxhash64("rid", "start"), F.ceil(F.col("members") / crowd)).cast("int")
+        members = handed.withColumn("offset", F.expr("at - start")).join(again, ["piece", "offset", "h"]).withColumns({"piece": F.xxhash64("piece", "offset", "h"), "salt": chunk, "salted": F.col("members") > crowd, "first": F.col("start"), "last": F.col("start")})
+        members = members.groupBy("rid").agg(F.collect_list(F.struct(*_MEMBER)).alias("members"))
+        around = held.select("rid", "text").join(members.hint("shuffle_hash"), "rid")
+    more = save(reduce(DataFrame.unionByName, runs)).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("more"))
 
     def cut(rows: dict) -> dict:
         out = {"rid": rows["rid"], "n_removed": [], "spans": [], "kept": []}
