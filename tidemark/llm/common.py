@@ -6,7 +6,7 @@ import atexit
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,10 +65,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def map_rows(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
+def map_rows(df: DataFrame, fn, schema: str | T.StructType, setup: Callable | None = None) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes: long texts come a few at a time.
 
     ``fn`` takes a dict of column -> Python list and returns a dict of column -> list or array.
+    With ``setup`` it also takes what that made, once for each task.
     """
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -76,9 +77,10 @@ def map_rows(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = () if setup is None else (setup(),)
         for batch in batches:
             for at, n in _pieces(batch):
-                got = fn(batch.slice(at, n).to_pydict())
+                got = fn(batch.slice(at, n).to_pydict(), *own)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type, from_pandas=False) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, out)

@@ -135,8 +135,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def sketch(rows: dict) -> dict:
-        words, maker, n, digest, sig = Words(), Circulant(seed), [], [], []
+    def sketch(rows: dict, own: tuple[Words, Circulant]) -> dict:
+        (words, maker), n, digest, sig = own, [], [], []
         for text in rows["text"]:
             s = shingles(text, k, words)
             n.append(len(s))
@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             sig.append(maker.signature(s).tobytes() if len(s) else None)
         return {"doc_id": rows["doc_id"], "n": n, "digest": digest, "sig": sig}
 
-    drawn = save(map_rows(rows, sketch, "doc_id long, n long, digest binary, sig binary"))
+    drawn = save(map_rows(rows, sketch, "doc_id long, n long, digest binary, sig binary", lambda: (Words(), Circulant(seed))))
     named = drawn.where("doc_id is not null and digest is not null")
     reps = save(named.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(named, ["digest", "doc_id"]).dropDuplicates(["digest"]).select("digest", "doc_id", "n", "sig"))
 
@@ -165,8 +165,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = save(_alike(stars, reps, percent))
     wanted = reps.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("digest").alias("own"))
 
-    def full(rows: dict) -> dict:
-        words, ids, sets = Words(), [], []
+    def full(rows: dict, words: Words) -> dict:
+        ids, sets = [], []
         for i, text, own in zip(rows["doc_id"], rows["text"], rows["own"], strict=True):
             s = shingles(text, k, words).tobytes()
             if xxhash.xxh3_128_digest(s) == own:
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 sets.append(s)
         return {"doc_id": ids, "set": sets}
 
-    sets = save(map_rows(rows.join(wanted.hint("shuffle_hash"), "doc_id"), full, "doc_id long, set binary").dropDuplicates(["doc_id"]))
+    sets = save(map_rows(rows.join(wanted.hint("shuffle_hash"), "doc_id"), full, "doc_id long, set binary", Words).dropDuplicates(["doc_id"]))
     links = _verified(stars, sets, percent)
     found = components(links)
     more = _across(members, reps, sets, found, percent)

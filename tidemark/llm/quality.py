@@ -125,12 +125,11 @@ def train(docs: DataFrame, rated: DataFrame, *, id_col: str = "doc_id", text_col
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id")
 
-    def draw(rows: dict) -> dict:
-        features = Features()
+    def draw(rows: dict, features: Features) -> dict:
         return {"doc_id": rows["doc_id"], "grade": rows["grade"], "features": [sorted(features(t)) for t in rows["text"]]}
 
     kind = dict(texts.dtypes)["doc_id"]
-    table = map_rows(texts, draw, f"doc_id {kind}, grade int, features array<int>").toArrow()
+    table = map_rows(texts, draw, f"doc_id {kind}, grade int, features array<int>", Features).toArrow()
     order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
     flat, ends = table["features"].combine_chunks(), None
     lists = flat.values.to_numpy() if len(order) else np.empty(0, np.int32)
@@ -147,15 +146,14 @@ def score(docs: DataFrame, model: Ordinal, *, text_col: str = "text") -> DataFra
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("expected_grade", "p_best")]
 
-    def grade(rows: dict) -> dict:
-        features = Features()
+    def grade(rows: dict, features: Features) -> dict:
         tails = [sent.value.tail(features(t)) for t in rows[text_col]]
         return {c: rows[c] for c in kept} | {"expected_grade": [sum(t) for t in tails], "p_best": [t[-1] for t in tails]}
 
     from pyspark.sql import types as T
 
     schema = T.StructType([docs.schema[c] for c in kept]).add("expected_grade", "double").add("p_best", "double")
-    return map_rows(docs, grade, schema)
+    return map_rows(docs, grade, schema, Features)
 
 
 def graded(labels: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", fields: Sequence[st
     fields = list(fields)
     rows = docs.select(F.col(id_col).alias("doc_id"), *(F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)))
 
-    def count(rows: dict) -> dict:
+    def coder() -> tuple:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
@@ -89,6 +89,10 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", fields: Sequence[st
         lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for raw, i in ranks.items():
             lengths[i] = len(raw)
+        return coder, lengths
+
+    def count(rows: dict, own: tuple) -> dict:
+        coder, lengths = own
         out = {"doc_id": rows["doc_id"], "n_tokens": [], "n_crossing": [], "sections": []}
         for texts in zip(*(rows[f"f{i}"] for i in range(len(fields))), strict=True):
             texts, at, names, begins = [t or "" for t in texts], 0, [], []
@@ -108,4 +112,4 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", fields: Sequence[st
         return out
 
     kind = dict(rows.dtypes)["doc_id"]
-    return map_rows(rows, count, f"doc_id {kind}, n_tokens long, n_crossing long, sections {SECTIONS}")
+    return map_rows(rows, count, f"doc_id {kind}, n_tokens long, n_crossing long, sections {SECTIONS}", coder)
