@@ -2,7 +2,9 @@
 
 Root-to-leaf paths come from iterative self-joins on jump pointers: after round ``k`` a leaf
 knows its ancestors up to distance ``2**k``, so depth ``d`` takes ``log2(d)`` rounds and the
-rows are those of the paths themselves. Branches are ranked by the sum of their scores.
+rows are those of the paths themselves. The pointers are made first, one row for each node, so
+nodes on or below a cycle are known and set aside before any path grows. Branches are ranked by
+the sum of their scores.
 
 The template writes each turn as ``### role:`` + line end + text + ``</turn>`` + line end. In texts and roles a
 backslash, ``#`` and ``<`` are written as ``\\b``, ``\\h`` and ``\\l`` (in roles ``:`` as ``\\c``), so no text can
@@ -41,22 +43,29 @@ def reply_paths(nodes: DataFrame) -> DataFrame:
     """
     known = nodes.select(F.col("node").alias("parent"))
     kept: list[str] = []
-    jump = save(nodes.select("node", "parent").join(known, "parent", "left_semi").select("node", F.col("parent").alias("up")), kept)
-    first = jump
-    leaves = nodes.select("node").join(first.select(F.col("up").alias("node")), "node", "left_anti")
-    path = save(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist")), kept)
-    step, n = 1, nodes.count()
-    while step < n and jump.limit(1).count():
-        more = path.join(jump, "node").select("leaf", F.col("up").alias("node"), (F.col("dist") + step).alias("dist"))
-        path = save(path.unionByName(more), kept)
-        onward = jump.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        jump = save(jump.join(onward, "up").select("node", F.col("next").alias("up")), kept)
-        for old in kept[1:-2]:
-            drop_path(nodes.sparkSession, old)
-        del kept[1:-2]
-        step *= 2
-    rooted = path.join(first, "node", "left_anti").select("leaf")
-    return path.join(rooted, "leaf", "left_semi") if step >= n and n > 1 else path
+    jumps = [save(nodes.select("node", "parent").join(known, "parent", "left_semi").select("node", F.col("parent").alias("up")), kept)]
+    left = jumps[0].count()
+    while left:
+        # Nodes with an ancestor at distance 2**k: of the rooted ones some leave each round, so those that stay when none leaves have no root.
+        onward = jumps[-1].select(F.col("node").alias("up"), F.col("up").alias("next"))
+        jump = save(jumps[-1].join(onward, "up").select("node", F.col("next").alias("up")), kept)
+        n = jump.count()
+        if n == left:
+            break
+        jumps.append(jump)
+        left = n
+    leaves = nodes.select("node").join(jumps[0].select(F.col("up").alias("node")), "node", "left_anti")
+    if left:
+        leaves = leaves.join(jumps[-1].select("node"), "node", "left_anti")
+    done: list[str] = []
+    path = save(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist")), done)
+    for k, jump in enumerate(jumps[:-1]):
+        more = path.join(jump, "node").select("leaf", F.col("up").alias("node"), (F.col("dist") + (1 << k)).alias("dist"))
+        path = save(path.unionByName(more), done)
+        drop_path(nodes.sparkSession, done.pop(0))
+    for old in kept:
+        drop_path(nodes.sparkSession, old)
+    return path
 
 
 def format_chats(nodes: DataFrame, *, top_k: int | None = None, loss_role: str = "assistant") -> DataFrame:
