@@ -117,14 +117,13 @@ def plain_spans(decoder, text):
     x = pii.symbols(text)
     n = len(x)
     blocks = -(-n // pii.STEP)
-    padded = np.zeros((blocks + 1) * pii.STEP, np.int8)
+    padded = np.zeros(blocks * pii.STEP + pii.OVER, np.int8)
     padded[:n] = x
     e, weight = np.zeros((len(padded), pii.N_TAGS)), np.zeros(len(padded))
-    near = np.minimum(np.arange(1, pii.SPAN + 1), np.arange(pii.SPAN, 0, -1))
-    scores = decoder.scores(np.stack([padded[b * pii.STEP :][: pii.SPAN] for b in range(blocks)])) * (pii.STEP + 1) if blocks else ()
+    scores = decoder.scores(np.stack([padded[b * pii.STEP :][: pii.SPAN] for b in range(blocks)])) if blocks else ()
     for b in range(blocks):
         e[b * pii.STEP :][: pii.SPAN] += scores[b]
-        weight[b * pii.STEP :][: pii.SPAN] += near
+        weight[b * pii.STEP :][: pii.SPAN] += decoder.near[:, 0]
     a, back, out, s = decoder.trans, [], [], 0
     for t in range(n):
         best = (best[:, None] + a).max(axis=0) + e[t] / weight[t] if t else pii._START + e[0] / weight[0]  # noqa: F821
@@ -156,8 +155,8 @@ def test_tagged_spans_are_those_of_one_pass(net):
 
 def test_fast_scores_are_the_tagger_s(net):
     ids = np.stack([pii.symbols(t)[: pii.SPAN] for t, _ in pii.labelled_texts(300, 8)])
-    near = np.minimum(np.arange(1, pii.SPAN + 1), np.arange(pii.SPAN, 0, -1)) / (pii.STEP + 1)
-    assert np.abs(pii.Decoder(net).scores(ids) - near[:, None] * net.emissions(ids)).max() < 0.2
+    decoder = pii.Decoder(net)
+    assert np.abs(decoder.scores(ids) - decoder.near * net.emissions(ids)).max() < 1e-3
 
 
 def test_spans_of_several_stretches_stay(net):
@@ -320,7 +319,8 @@ def test_quality(spark):
 # --- 6 embeddings
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize("joint", [None, 1, 3])
+def test_near_vectors(spark, joint):
     g = np.random.default_rng(2)
     base = g.normal(size=(30, 16))
     rows = []
@@ -328,8 +328,8 @@ def test_near_vectors(spark):
         v = base[i % 30] + g.normal(size=16) * (0.0, 0.05, 0.14, 0.4)[i % 4]
         rows.append((i, v.tolist(), (i // 4) % 3))
     rows += [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] * 16, 1), (503, [1.0, None] * 8, 1), (504, base[0].tolist(), None), (505, rows[0][1], rows[0][2]), (0, rows[0][1], rows[0][2]), (506, [1.0, 2.0], 1), (507, [2.0, 4.0], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = embed_dedup.near_vectors(df, block=16).collect()
+    df = spark.createDataFrame([(*x, "t", 1) for x in rows], "vec_id long, embedding array<double>, label int, key string, node int")
+    got = embed_dedup.near_vectors(df, block=16, joint=joint).collect()
     ok = lambda v: v is not None and None not in v and np.isfinite(v).all() and np.any(v)
     links = defaultdict(list)
     for a, (i, v, x) in enumerate(rows):
@@ -341,6 +341,28 @@ def test_near_vectors(spark):
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_pairs_of_many_vectors():
+    """Recall of cells and counts against all pairs, over queries whose number is divisible by 100."""
+    g = np.random.default_rng(5)
+    base = g.normal(size=(400, 64))
+    v = np.repeat(base, 10, axis=0) + g.normal(size=(4000, 64)) * np.repeat(g.choice([0.08, 0.13, 0.16], 400), 10)[:, None]
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(min(i, j), max(i, j)) for i in range(0, 4000, 100) for j in np.flatnonzero(unit @ unit[i] >= 0.98).tolist() if i != j}
+    chord = (2 - 2 * 0.98) ** 0.5
+    known = {"lines": embed_dedup.LINES, "half": embed_dedup.REACH * chord, "limit": embed_dedup.least_collisions(embed_dedup.LINES, embed_dedup.REACH, 1e-6), "threshold": 0.98, "seed": 6}
+    half = np.arange(0, 4000, 2), np.arange(1, 4000, 2)
+    for parts in ([(np.arange(4000), None)], [(half[0], None), (half[1], None), half]):
+        found = {(min(a, b), max(a, b)) for x, y in parts for p, q in embed_dedup.near_pairs(unit, x, y, **known) for a, b in zip(p.tolist(), q.tolist(), strict=True)}
+        assert want <= found and len(want) > 100
+    for joint in (2, 6):
+        cells = embed_dedup.cells_of(unit, joint, chord, 6)
+        met = sum(bool((cells[a] == cells[b]).all(axis=1).any()) for a, b in want)
+        assert met >= 0.999 * len(want)
+    assert embed_dedup.joint_lines(5000, chord) == 0 < embed_dedup.joint_lines(10**6, chord) < embed_dedup.joint_lines(10**9, chord)
+    work = lambda n: embed_dedup.tables_for(g := embed_dedup.joint_lines(n, chord)) * (embed_dedup.MOVE * n + n * n * embed_dedup.same_cell(embed_dedup.SIDE * chord / 2**0.5) ** g / 2)
+    assert work(10**9) < 10 ** (3 * 1.35) * work(10**6)
+
+
 # --- 7 tokens
 
 
