@@ -5,16 +5,19 @@ window centred on the other; near pairs collide on most lines, others on few. Pa
 collision count passes a limit calibrated on the binomial tail at the threshold are verified by
 cosine in double precision.
 
-Vectors meet by blocks: on the first unit line, near vectors lie within the chord of the
-threshold, so cells of that width need only their own and the next cell. Cells fall into
-blocks of bounded size by hash, each pair of blocks is a task's work and sends back link
-counts and one component root for each of its vectors, never the pairs. Equal vectors are
-collapsed before.
+Vectors meet in cells: in each of ``T`` tables a cell is a piece of ``g`` further lines jointly,
+cut at random offsets, so that a near pair shares a cell in some table. A label of ``N`` vectors
+takes the ``g`` of least work and the ``T`` that misses a pair at the threshold with probability
+``MISS`` at most: few vectors make one cell (nothing is missed), many make small cells, and the
+work grows like ``N**1.13``. A cell is sorted on its first line and windows slide over it; large
+cells fall into pairs of blocks, a task each. A pair counts in the first table that brings it
+together. Tasks send back link counts and one component root for each vector, never the pairs.
+Equal vectors are collapsed before.
 """
 
 from __future__ import annotations
 
-from math import comb, erf, sqrt
+from math import ceil, comb, erf, exp, log, log1p, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, map_rows, save
+from .minhash import mixed
 
-LINES = 32
+LINES = 16
 #: Half a window, in standard deviations of the projected distance of a pair at the threshold.
-REACH = 1.5
+REACH = 4.2
+#: Chance that a pair at the threshold fails the count, and that no table brings it together.
 MISS = 1e-6
-BLOCK = 1024
+BLOCK = 4096
+#: Side of a cell, in the same unit as ``REACH``, and the most lines of a cell.
+SIDE, MOST_JOINT = 5.0, 24
+#: Sending a vector to a table costs as much as comparing so many pairs.
+MOVE = 1000
 
 
 def least_collisions(lines: int, reach: float, miss: float) -> int:
@@ -41,110 +50,171 @@ def least_collisions(lines: int, reach: float, miss: float) -> int:
     return lines
 
 
-def lines_of(dim: int, lines: int, seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.Philox(key=[seed, dim])).standard_normal((dim, lines))
+def same_cell(side: float) -> float:
+    """Chance that two points at a normal distance fall into one piece of ``side`` deviations at a random offset."""
+    return erf(side / sqrt(2)) - sqrt(2 / pi) / side * (1 - exp(-side * side / 2))
+
+
+def tables_for(joint: int) -> int:
+    """Tables of ``joint`` lines that bring a pair at the threshold together but for a chance of ``MISS``."""
+    return 1 if not joint else ceil(log(MISS) / log1p(-(same_cell(SIDE) ** joint)))
 
 
-def collisions(left: np.ndarray, right: np.ndarray, half: float) -> np.ndarray:
-    """For each pair of rows the number of lines (columns) on which it collides."""
-    count = np.zeros((len(left), len(right)), np.uint8)
-    for j in range(left.shape[1]):
-        order = np.argsort(right[:, j], kind="stable")
-        on = right[order, j]
-        lo, hi = np.searchsorted(on, left[:, j] - half), np.searchsorted(on, left[:, j] + half, "right")
-        for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
-            count[i, order[a:b]] += 1
-    return count
+def joint_lines(n: int, chord: float) -> int:
+    """The number of joint lines with least work for ``n`` vectors whose pairs lie as random directions do."""
+    far = same_cell(SIDE * chord / sqrt(2))
+    return min(range(MOST_JOINT + 1), key=lambda g: tables_for(g) * (MOVE * n + n * n * far**g / 2) - (g == 0) * MOVE * n)
+
+
+def lines_of(dim: int, lines: int, seed: int) -> np.ndarray:
+    return np.random.Generator(np.random.Philox(key=[seed, dim])).standard_normal((dim, lines))
 
 
-def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, lines: int = LINES, seed: int = 6, block: int = BLOCK) -> DataFrame:
+def cells_of(unit: np.ndarray, joint: int, chord: float, seed: int) -> np.ndarray:
+    """``[vector, table, line]``: the pieces of each table's lines that unit vectors fall on."""
+    t, dim = tables_for(joint), unit.shape[1]
+    offsets = np.random.Generator(np.random.Philox(key=[seed + 2, joint])).random(t * joint)
+    return np.floor(unit @ lines_of(dim, t * joint, seed + 1) / (SIDE * chord) + offsets).astype(np.int32).reshape(len(unit), t, joint)
+
+
+def near_pairs(unit: np.ndarray, left: np.ndarray, right: np.ndarray | None, *, lines: int, half: float, limit: int, threshold: float, seed: int):
+    """Pairs of rows (left, right; or any two of left) whose windows collide on ``limit`` lines at least and whose cosine is ``threshold`` at least, in parts."""
+    on = (unit @ lines_of(unit.shape[1], lines, seed)).astype(np.float32)
+    half = np.float32(half)
+    left = left[np.argsort(on[left, 0], kind="stable")]
+    other = left if right is None else right[np.argsort(on[right, 0], kind="stable")]
+    first, lo0 = on[other, 0], on[left, 0]
+    tile = 128
+    # Pairs that miss the window of the sorted line have one miss already: they count if a wider window holds them.
+    spare = lines - limit
+    wide = half * np.float32(1.2) if spare else half
+    for at in range(0, len(left), tile):
+        rows = left[at : at + tile]
+        begin = at if right is None else int(np.searchsorted(first, lo0[at] - wide))
+        end = int(np.searchsorted(first, lo0[min(at + tile, len(left)) - 1] + wide, "right"))
+        cols = other[begin:end]
+        if not len(cols):
+            continue
+        x, y = on[rows], on[cols]
+        miss = np.zeros((len(rows), len(cols)), np.int8)
+        dense = min(6, lines)
+        for j in range(dense):
+            miss += np.abs(x[:, j, None] - y[None, :, j]) > half
+        if right is None:
+            miss[np.arange(len(cols))[None, :] <= np.arange(len(rows))[:, None]] = lines + 1
+        a, b = np.nonzero(miss <= spare)
+        miss = miss[a, b]
+        for j in range(dense, lines):
+            miss += np.abs(x[a, j] - y[b, j]) > half
+            keep = miss <= spare
+            if not keep.all():
+                a, b, miss = a[keep], b[keep], miss[keep]
+        a, b = rows[a], cols[b]
+        for k in range(0, len(a), 65536):
+            p, q = a[k : k + 65536], b[k : k + 65536]
+            ok = np.einsum("ij,ij->i", unit[p], unit[q]) >= threshold
+            yield p[ok], q[ok]
+
+
+def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, lines: int = LINES, seed: int = 6, block: int = BLOCK, joint: int | None = None) -> DataFrame:
     """Rows ``(vec_id, n_links, component_id, kept)``, one per input row.
 
     Vectors are compared when labels are equal and not null and dimensions are equal.
     ``n_links`` counts the other rows linked directly, copies included. Null, zero or
-    non-finite vectors and null labels link with nothing. A null id counts as a link of others
-    and names no component. Repeated rows link with each other. Empty input: no rows. Other
-    columns are not read.
+    non-finite vectors and null labels link with nothing. Vectors with null ids link with the
+    others, but name no component. Repeated rows link with each other. Empty input: no rows.
+    Other columns are not read. ``joint`` sets the lines of a cell, by itself it follows from
+    the size of the label.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
     chord, limit = sqrt(2 - 2 * threshold), least_collisions(lines, REACH, MISS)
 
     def prepare(rows: dict) -> dict:
-        out = {"vec_id": rows["vec_id"], "label": rows["label"], "digest": [], "dim": [], "cell": [], "unit": []}
-        first = {}
+        out = {"vec_id": rows["vec_id"], "label": rows["label"], "digest": [], "dim": [], "unit": []}
         for v, label in zip(rows["v"], rows["label"], strict=True):
             x = np.array([np.nan if e is None else e for e in v or ()], np.float64)
             big = np.abs(x).max() if len(x) and np.isfinite(x).all() else 0.0
             if label is None or not big > 0:
-                for c in ("digest", "dim", "cell", "unit"):
+                for c in ("digest", "dim", "unit"):
                     out[c].append(None)
                 continue
             unit = x / big
             unit /= np.sqrt(unit @ unit)
-            if len(x) not in first:
-                line = lines_of(len(x), 1, seed + 1)[:, 0]
-                first[len(x)] = line / np.sqrt(line @ line)
             out["digest"].append(xxhash.xxh3_128_digest(x.tobytes()))
             out["dim"].append(len(x))
-            out["cell"].append(int(np.floor(unit @ first[len(x)] / (chord * (1 + 1e-9)))))
             out["unit"].append(unit.tobytes())
         return out
 
-    drawn = save(map_rows(rows, prepare, "vec_id long, label string, digest binary, dim int, cell int, unit binary"))
+    drawn = save(map_rows(rows, prepare, "vec_id long, label string, digest binary, dim int, unit binary"))
     copy = ["label", "dim", "digest"]
-    whole = drawn.where("digest is not null")
-    classes = whole.groupBy(*copy).agg(F.count("*").alias("n"), F.min("vec_id").alias("rep"))
-    one = save(classes.where("rep is not null").join(whole, copy).where("vec_id = rep").dropDuplicates(copy).select("label", "dim", "digest", "n", "rep", "cell", "unit"))
-    # Block numbers of each cell and of the next one; a vector goes to each pair of blocks it is in.
-    cells = save(one.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    near = one.join(cells, ["label", "dim", "cell"])
-    near = near.join(cells.select("label", "dim", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("next")), ["label", "dim", "cell"], "left")
-    near = near.join(cells.select("label", "dim", (F.col("cell") + 1).alias("cell"), F.col("blocks").alias("prior")), ["label", "dim", "cell"], "left")
-    mine = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
-    upto = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array())
-    task = lambda cell, kind, a, b, side: F.struct(cell.alias("c"), F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"), side.cast("int").alias("side"))
-    own = upto("blocks", lambda k: task(F.col("cell"), 0, F.least("mine", k), F.greatest("mine", k), F.when(F.col("mine") <= k, 0).otherwise(1)))
-    ahead = upto("next", lambda k: task(F.col("cell"), 1, F.col("mine"), k, F.lit(0)))
-    behind = upto("prior", lambda k: task(F.col("cell") - 1, 1, k, F.col("mine"), F.lit(1)))
-    empty = F.array().cast("array<struct<c:int,kind:int,a:int,b:int,side:int>>")
-    near = near.withColumn("mine", mine).withColumn("t", F.explode(F.concat(own, F.coalesce(ahead, empty), F.coalesce(behind, empty))))
-    near = near.select("label", "dim", "t.*", "rep", "n", "unit")
+    one = save(drawn.where("digest is not null").groupBy(*copy).agg(F.count("*").alias("n"), F.min("vec_id").alias("rep"), F.first("unit").alias("unit")).withColumn("node", F.monotonically_increasing_id()))
+    sizes = one.groupBy("label", "dim").agg(F.count("*").alias("size"))
+
+    def plan(rows: dict) -> dict:
+        found = {n: joint_lines(n, chord) if joint is None else joint for n in set(rows["size"])}
+        return {"label": rows["label"], "dim": rows["dim"], "joint": [found[n] for n in rows["size"]]}
+
+    plans = save(map_rows(sizes, plan, "label string, dim int, joint int"))
+
+    def spread(rows: dict) -> dict:
+        out: list = [None] * len(rows["unit"])
+        groups: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(rows["dim"], rows["joint"], strict=True)):
+            groups.setdefault(key, []).append(i)
+        for (_, g), at in groups.items():
+            cells = cells_of(np.frombuffer(b"".join(rows["unit"][i] for i in at), np.float64).reshape(len(at), -1), g, chord, seed)
+            keys = np.zeros(cells.shape[:2], np.uint64)
+            for j in range(g):
+                keys = mixed(keys ^ cells[:, :, j].astype(np.int64).view(np.uint64))
+            for i, k in zip(at, keys.view(np.int64).tolist(), strict=True):
+                out[i] = k
+        return {c: rows[c] for c in ("label", "dim", "node", "n", "unit", "joint")} | {"keys": out}
+
+    placed = save(map_rows(one.join(plans, ["label", "dim"]), spread, "label string, dim int, node long, n long, unit binary, joint int, keys array<long>"))
+    cell = ["label", "dim", "t", "key"]
+    where = placed.select("label", "dim", F.posexplode("keys").alias("t", "key"))
+    cells = save(where.groupBy(*cell).agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("size"))
+    near = placed.select("label", "dim", "node", "n", "unit", "joint", F.posexplode("keys").alias("t", "key")).join(cells, cell)
+    near = near.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    near = near.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("blocks", "other")
 
     def compare(table: pa.Table) -> pa.Table:
         unit = np.frombuffer(b"".join(table["unit"].to_pylist()), np.float64).reshape(len(table), -1)
-        rep, n, side = (table[c].to_numpy() for c in ("rep", "n", "side"))
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        within = table["kind"][0].as_py() == 0 and table["a"][0].as_py() == table["b"][0].as_py()
-        if within:
-            right = left
-        on = unit @ lines_of(unit.shape[1], lines, seed)
-        x, y = np.nonzero(collisions(on[left], on[right], REACH * chord) >= limit)
-        x, y = left[x], right[y]
-        if within:
-            x, y = x[x < y], y[x < y]
-        ok = [np.einsum("ij,ij->i", unit[x[k : k + 65536]], unit[y[k : k + 65536]]) >= threshold for k in range(0, len(x), 65536)]
-        ok = np.concatenate(ok) if ok else np.empty(0, bool)
-        x, y = x[ok], y[ok]
-        links, root = np.zeros(len(rep), np.int64), np.argsort(np.argsort(rep, kind="stable"), kind="stable")
-        np.add.at(links, x, n[y])
-        np.add.at(links, y, n[x])
-        by = np.argsort(rep, kind="stable")
+        n, mine = (table[c].to_numpy() for c in ("n", "mine"))
+        t, g, lo, hi = (table[c][0].as_py() for c in ("t", "joint", "lo", "hi"))
+        left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi) if lo != hi else None
+        before = cells_of(unit, g, chord, seed)[:, :t] if t else None
+        links, xs, ys = np.zeros(len(n), np.int64), [], []
+        for x, y in near_pairs(unit, left, right, lines=lines, half=REACH * chord, limit=limit, threshold=threshold, seed=seed):
+            if t and len(x):
+                new = ~(before[x] == before[y]).all(axis=2).any(axis=1)
+                x, y = x[new], y[new]
+            np.add.at(links, x, n[y])
+            np.add.at(links, y, n[x])
+            xs.append(x)
+            ys.append(y)
+        x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (xs, ys))
+        root = np.arange(len(n))
         while True:
             low = np.minimum(root[x], root[y])
             new = root.copy()
             np.minimum.at(new, x, low)
             np.minimum.at(new, y, low)
-            new = new[by[new]]
+            new = new[new]
             if (new == root).all():
                 break
             root = new
         got = np.flatnonzero(links)
-        return pa.table({"rep": rep[got], "links": links[got], "root": rep[by[root[got]]]})
-
-    found = save(near.groupBy("label", "dim", "c", "kind", "a", "b").applyInArrow(compare, "rep long, links long, root long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    reached = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    each = one.select(*copy, "n", "rep").join(links, "rep", "left").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
-    each = each.select(*copy, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = drawn.select("vec_id", *copy).join(each, copy, "left").withColumn("component_id", F.coalesce("component", "vec_id"))
+        node = table["node"].to_numpy()
+        return pa.table({"node": node[got], "links": links[got], "root": node[root[got]]})
+
+    found = save(near.groupBy(*cell, "lo", "hi").applyInArrow(compare, "node long, links long, root long"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    reached = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    each = one.select(*copy, "n", "rep", "node").join(links, "node", "left").join(reached, "node", "left")
+    each = save(each.select(*copy, "rep", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    # Written before the joins, so that a large component or a common vector can be split there.
+    low = save(each.groupBy("component").agg(F.min("rep").alias("low")))
+    each = save(each.join(low, "component").select(*copy, "n_links", "low"))
+    out = drawn.select("vec_id", *copy).join(each, copy, "left").withColumn("component_id", F.coalesce("low", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
