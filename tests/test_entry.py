@@ -22,7 +22,7 @@ def normal(rows, columns):
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()
-    for t in ("events", "orders", "lineitem"):
+    for t in ("events", "orders", "lineitem", "nation"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 

@@ -43,7 +43,7 @@ class Engine:
         if self.store is None:
             raise QueryError("measurement-not-found", f"no measurement {q.measurement!r}")
         name = (q.database or "default", q.retention_policy or "autogen", q.measurement)
-        m = self.store.read(*name)
+        m = self.store.read(*name, *predicates.scan_bounds(q))
         if q.budget.max_shards or q.budget.max_parts:
             shards = self.store.shards(*name, *predicates.scan_bounds(q))
             parts = len(self.store._table(*name)["parts"])
@@ -69,8 +69,13 @@ class Engine:
     def page(self, q: Query) -> tuple[DataFrame, str | None]:
         """One page of rows and the cursor of the next."""
         m, q = self._resolve(q)
-        got = execute.rows(m, q, keep_series=True).cache()
-        return got.drop("series_id"), execute.next_cursor(got, q)
+        got = execute.rows(m, q, keep_series=True)
+        if not q.limit:
+            return got.drop("series_id", "exact_ts"), None
+        # At most ``limit`` rows, which the caller asked to hold.
+        page = got.toArrow()
+        token = execute.next_cursor(page, q)
+        return self.spark.createDataFrame(page, got.schema).drop("series_id", "exact_ts"), token
 
     def explain(self, q: Query) -> execute.Explained:
         m, q = self._resolve(q)

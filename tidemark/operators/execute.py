@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ def filtered(m: Measurement, q: Query) -> Measurement:
     if q.where is not None:
         for part in _conjuncts(q.where):
             df = df.where(predicates.tree(part, q, tags, m.fields))
-    return Measurement(df, m.name, m.tags, m.fields, m.tie, m.series, m.raw, m.shard)
+    return replace(m, df=df)
 
 
 def _conjuncts(e: model_.Expr) -> list[model_.Expr]:
@@ -55,18 +55,21 @@ def _within(df: DataFrame, q: Query) -> DataFrame:
     return df
 
 
-def _ordered(df: DataFrame, q: Query, series: list[str], *inner: str) -> DataFrame:
-    """ASC is series-major; DESC is by time, then series. With a cursor both are by time."""
+def _ordered(df: DataFrame, q: Query, series: list[str], *inner: str, by_time: bool) -> DataFrame:
+    """ASC is series-major; DESC is by time, then series. Pages are by time both ways."""
     by_series = [F.col(f"`{c}`") for c in series]
     if q.descending:
         return df.orderBy(F.desc("ts"), *by_series, *inner)
-    if q.cursor:
+    if by_time:
         return df.orderBy("ts", *by_series, *inner)
     return df.orderBy(*by_series, *inner, "ts")
 
 
 def rows(m: Measurement, q: Query, *, keep_series: bool = False) -> DataFrame:
-    """Row shape: ``(tags, ts, fields)``, a null where a row has no sample of a field."""
+    """Row shape: ``(tags, ts, fields)``, a null where a row has no sample of a field.
+
+    ``keep_series`` adds ``series_id`` and ``exact_ts``, which a cursor is made of.
+    """
     analyze(q, m.fields)
     if q.cursor or keep_series:
         m = with_series_ids(m)
@@ -85,18 +88,20 @@ def rows(m: Measurement, q: Query, *, keep_series: bool = False) -> DataFrame:
         s, t = cursors.decode(q.cursor, q.descending)
         after = F.col("ts") < t if q.descending else F.col("ts") > t
         df = df.where(after | ((F.col("ts") == t) & (F.col(m.series) > s)))
-    df = _paged(_ordered(df, q, series, *(m.tie if not q.aggregates else ())), q)
+    df = _paged(_ordered(df, q, series, *(m.tie if not q.aggregates else ()), by_time=bool(q.cursor) or keep_series), q)
     df = _within(df, q).drop(*m.tie)
-    return _out_time(df if keep_series or not m.series or q.aggregates else df.drop(m.series), q)
+    if keep_series:
+        df = df.withColumn("exact_ts", F.col("ts"))
+    elif m.series and not q.aggregates:
+        df = df.drop(m.series)
+    return _out_time(df, q)
 
 
-def next_cursor(page: DataFrame, q: Query) -> str | None:
+def next_cursor(page: pa.Table, q: Query) -> str | None:
     """The token that resumes after a page of ``rows(..., keep_series=True)``; None after the last page."""
-    factor = model_.NS[q.precision]
-    last = page.tail(1)
-    if not last or not q.limit or page.count() < q.limit:
+    if not q.limit or len(page) < q.limit:
         return None
-    return cursors.encode(last[0]["series_id"], last[0]["ts"] * factor, q.descending)
+    return cursors.encode(page["series_id"][-1].as_py(), page["exact_ts"][-1].as_py(), q.descending)
 
 
 def columns(m: Measurement, q: Query) -> DataFrame:
@@ -161,7 +166,12 @@ def _all(e: model_.Expr) -> list[model_.Expr]:
     return [e, *(x for c in e.children for x in _all(c))]
 
 
+def as_json(df: DataFrame) -> DataFrame:
+    """Each row as a JSON text in ``line``, nulls written out."""
+    return df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}).alias("line"))
+
+
 def json_lines(df: DataFrame):
-    """Rows as JSON lines, fetched partition by partition."""
-    for r in df.toLocalIterator():
-        yield json.dumps(r.asDict(recursive=True), ensure_ascii=False)
+    """Rows as JSON lines, made by the tasks and fetched partition by partition."""
+    for r in as_json(df).toLocalIterator():
+        yield r["line"]

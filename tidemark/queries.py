@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Engine
+from .errors import QueryError
 from .functions import registry
 from .operators import execute, predicates
 from .plans import cursor as cursors
 from .plans.builder import QueryBuilder
-from .plans.model import and_expr, field_eq, field_gt, field_gte, field_lt, field_lte, field_ne, not_expr, or_expr, tag_eq, tag_exists, tag_in, tag_ne, time_range
+from .plans.model import Budget, and_expr, field_eq, field_gt, field_gte, field_lt, field_lte, field_ne, not_expr, or_expr, tag_eq, tag_exists, tag_in, tag_ne, time_range
 from .sources.measurement import Measurement, from_dataframe
 from .sources.series import number, series_table
-from .sources.store import anti_deleted, resolve_versions
-from .streaming.downsample import Function, Policy, estimate, floor_to, normalized, rollup
+from .sources.store import Store, anti_deleted, resolve_versions
+from .streaming.downsample import Downsampler, Function, Policy, estimate, floor_to, normalized, rollup
 
 Run = Callable[[SparkSession, str], DataFrame]
 DAY, HOUR = 86_400_000_000_000, 3_600_000_000_000
@@ -107,6 +112,7 @@ for _name, _p, _sql in [
     ("empty_or", or_expr(), "false"),
 ]:
     on_events(f"filter_{_name}", lambda b, p=_p: b.select("value").where(p) if not hasattr(p, "op") else b.select("value").where_expr(p), f"SELECT event_type, user_id, ts, value FROM ev WHERE {_sql}")
+on_events("filter_implicit_and", lambda b: b.select("value").where(tag_in("event_type", "click", "view"), field_gt("value", 20.0)).where(field_lt("value", 80.0)), "SELECT event_type, user_id, ts, value FROM ev WHERE event_type IN ('click', 'view') AND value > 20 AND value < 80")
 on_events("filter_other_field", lambda b: b.select("value").where(field_gt("bin", 5)), "SELECT event_type, user_id, ts, value FROM ev WHERE bin > 5")
 on_events("filter_other_field_sum", lambda b: b.where(field_gte("bin", 5)).aggregate("sum", "value").group_by_tags("event_type"), "SELECT event_type, min(ts) AS ts, round(sum(value), 6) AS sum_value FROM ev WHERE bin >= 5 GROUP BY 1", digits=6)
 on_events("columns_long", lambda b: b.select("value", "bin").time_range(T5, T10), f"SELECT event_type, user_id, 'value' AS field, ts, value FROM ev WHERE ts BETWEEN {T5} AND {T10} UNION ALL SELECT event_type, user_id, 'bin', ts, CAST(bin AS DOUBLE) FROM ev WHERE ts BETWEEN {T5} AND {T10}", shape=long_values)
@@ -222,9 +228,127 @@ def _stones(spark: SparkSession) -> DataFrame:
 
 _DEAD = f"((write_seq <= 1 AND ts BETWEEN {T5} AND {T5 + DAY}) OR (write_seq <= 2 AND event_type = 'click' AND ts BETWEEN {T10} AND {T20}))"
 add("delete_tombstones", lambda spark, sf_dir: resolve_versions(anti_deleted(_versions(spark, sf_dir), _stones(spark), ["event_type", "user_id"], DAY), _KEYS, ["value", "bin"]).fillna(-1, ["bin"]), f"WITH {_VER}, live AS (SELECT * FROM ver WHERE NOT {_DEAD}), n AS ({_NEWEST.format(source='live')}) SELECT event_type, user_id, ts, value, coalesce(bin, -1) AS bin FROM n")
-add("delete_range", lambda spark, sf_dir: events(spark, sf_dir).df.where(~predicates.between(F.col("ts"), T5, T10)).select(*_KEYS, "value"), f"WITH {EV} SELECT event_type, user_id, ts, value FROM ev WHERE NOT ts BETWEEN {T5} AND {T10}")
-add("delete_by_tag", lambda spark, sf_dir: events(spark, sf_dir).df.where(~(predicates.between(F.col("ts"), T5, T20) & predicates.exact_tags({"event_type": "view"}, frozenset(("event_type", "user_id"))))).select(*_KEYS, "value"), f"WITH {EV} SELECT event_type, user_id, ts, value FROM ev WHERE NOT (ts BETWEEN {T5} AND {T20} AND event_type = 'view')")
-add("retention_cutoff", lambda spark, sf_dir: events(spark, sf_dir).scan(T20 - 7 * DAY, None).df.select(*_KEYS, "value"), f"WITH {EV} SELECT event_type, user_id, ts, value FROM ev WHERE ts >= {T20 - 7 * DAY}")
+
+
+# --- the store: every query below writes its measurements into a store of its own and reads them back
+
+
+def _engine(spark: SparkSession, **options) -> Engine:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    engine = Engine(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}", **{"shard": DAY, **options})
+    atexit.register(_drop, engine.store)
+    return engine
+
+
+def _drop(store: Store) -> None:
+    if store.spark.sparkContext._jsc is not None and not store.spark.sparkContext._jsc.sc().isStopped():
+        store.files.delete(store.root)
+
+
+_AT = ("d", "raw", "events")
+
+
+def stored(spark: SparkSession, sf_dir: str, batches: int = 1, **options) -> Engine:
+    """Events in a store, written in so many batches."""
+    engine, df = _engine(spark, **options), events(spark, sf_dir).df.select("event_type", "user_id", "ts", "value", "bin", "event_id")
+    for i in range(batches):
+        engine.store.write(df.where(F.col("event_id") % batches == i), *_AT, tags=["event_type", "user_id"])
+    return engine
+
+
+def stored_rows(engine: Engine, build: Callable[[QueryBuilder], QueryBuilder] = lambda b: b.select("value")) -> DataFrame:
+    return engine.query_rows(build(QueryBuilder().from_(*_AT)).build())
+
+
+def _doubled(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    return events(spark, sf_dir).df.where(where).select("event_type", "user_id", "ts", (F.col("value") * 2).alias("value"))
+
+
+_ROWS = "SELECT event_type, user_id, ts, value FROM ev"
+
+
+def on_store(name: str, act: Callable[[Engine, SparkSession, str], DataFrame], sql: str, batches: int = 1, **options) -> None:
+    add(name, lambda spark, sf_dir: act(stored(spark, sf_dir, batches, **options), spark, sf_dir), f"WITH {EV} {sql}")
+
+
+def _overwritten(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    e.store.write(_doubled(spark, sf_dir, "event_id % 3 = 0"), *_AT, tags=["event_type", "user_id"])
+    return stored_rows(e, lambda b: b.select("value", "bin").where(field_gt("value", 20.0)))
+
+
+def _deleted(e: Engine, **what) -> DataFrame:
+    e.store.delete(*_AT, **what)
+    return stored_rows(e)
+
+
+def _rewritten(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    e.store.delete(*_AT, start=T5, end=T20)
+    e.store.write(_doubled(spark, sf_dir, f"event_type = 'click' AND ts BETWEEN {T10} AND {T20}"), *_AT, tags=["event_type", "user_id"])
+    return stored_rows(e)
+
+
+def _retained(e: Engine, policy: bool) -> DataFrame:
+    if policy:
+        e.store.create_retention_policy("d", "raw", 7 * DAY)
+    e.store.apply_retention(T20, None if policy else 7 * DAY)
+    e.store.vacuum(0)
+    return stored_rows(e)
+
+
+def _compacted(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overwrites and deletes, then every second shard compacted, then all the rest; replaced files go."""
+    e.store.write(_doubled(spark, sf_dir, "event_id % 3 = 0"), *_AT, tags=["event_type", "user_id"])
+    e.store.delete(*_AT, start=T5, end=T10, tags={"event_type": "view"})
+    e.store.compact(*_AT, shards=e.store.shards(*_AT)[::2])
+    e.store.compact(*_AT, min_parts=2)
+    e.store.vacuum(0)
+    held = e.store._table(*_AT)
+    if held["tombstones"] or any(not p.get("unique") for p in held["parts"]):
+        raise QueryError("internal", "compaction left versions or tombstones")
+    return stored_rows(e)
+
+
+on_store("store_write_read", lambda e, *_: stored_rows(e, lambda b: b.select("value", "bin", "event_id")), "SELECT event_type, user_id, ts, value, bin, event_id FROM ev", 3)
+on_store("store_time_range", lambda e, *_: stored_rows(e, lambda b: b.select("value").time_range(T5, T10)), f"{_ROWS} WHERE ts BETWEEN {T5} AND {T10}")
+on_store("store_limit_series_major", lambda e, *_: stored_rows(e, lambda b: b.select("value").time_range(T5, T20).limit(40)), f"{_ROWS} WHERE ts BETWEEN {T5} AND {T20} ORDER BY event_type, user_id, ts LIMIT 40")
+on_store("store_overwrite", _overwritten, "SELECT event_type, user_id, ts, CASE WHEN event_id % 3 = 0 THEN value * 2 ELSE value END AS value, bin FROM ev WHERE CASE WHEN event_id % 3 = 0 THEN value * 2 ELSE value END > 20")
+on_store("delete_range", lambda e, *_: _deleted(e, start=T5, end=T10), f"{_ROWS} WHERE NOT ts BETWEEN {T5} AND {T10}", 2)
+on_store("delete_by_tag", lambda e, *_: _deleted(e, start=T5, end=T20, tags={"event_type": "view"}), f"{_ROWS} WHERE NOT (ts BETWEEN {T5} AND {T20} AND event_type = 'view')")
+on_store("delete_absent_tag", lambda e, *_: _deleted(e, start=T5, end=T20, tags={"event_type": "click", "nothing": ""}), f"{_ROWS} WHERE NOT (ts BETWEEN {T5} AND {T20} AND event_type = 'click')")
+on_store("delete_then_rewrite", _rewritten, f"SELECT event_type, user_id, ts, CASE WHEN ts BETWEEN {T5} AND {T20} THEN value * 2 ELSE value END AS value FROM ev WHERE NOT ts BETWEEN {T5} AND {T20} OR (event_type = 'click' AND ts BETWEEN {T10} AND {T20})")
+on_store("retention_cutoff", lambda e, *_: _retained(e, False), f"{_ROWS} WHERE ts >= {T20 - 7 * DAY}")
+on_store("retention_policy", lambda e, *_: _retained(e, True), f"{_ROWS} WHERE ts >= {T20 - 7 * DAY}", 2)
+on_store("compaction", _compacted, f"SELECT event_type, user_id, ts, CASE WHEN event_id % 3 = 0 THEN value * 2 ELSE value END AS value FROM ev WHERE NOT (ts BETWEEN {T5} AND {T10} AND event_type = 'view')", 3)
+on_store("store_aggregate", lambda e, *_: named(stored_rows(e, lambda b: b.aggregate("mean", "value").aggregate("count", "bin").group_by_tags("event_type").group_by_time(DAY))), f"SELECT event_type, (ts // {DAY}) * {DAY} AS ts, round(avg(value), 6) AS avg_value, count(bin) AS count_bin FROM ev GROUP BY 1, 2", 2)
+on_store("ndjson_stream", lambda e, *_: execute.as_json(stored_rows(e)).select(F.from_json("line", "event_type string, user_id string, ts long, value double").alias("r")).select("r.*"), _ROWS)
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as points, one by one from the driver, in seconds."""
+    engine = _engine(spark)
+    engine.store.write_points(({"database": "d", "retention_policy": "raw", "measurement": "nation", "tags": {"name": r.n_name}, "ts": r.n_nationkey, "fields": {"region": r.n_regionkey}} for r in read(spark, sf_dir, "nation").toLocalIterator()), precision="s")
+    return engine.query_rows(QueryBuilder().from_("d", "raw", "nation").build())
+
+
+add("store_points", _points, "SELECT n_name AS name, CAST(n_nationkey AS BIGINT) * 1000000000 AS ts, CAST(n_regionkey AS BIGINT) AS region FROM nation")
+
+
+def _walked(e: Engine, precision: str, descending: bool, limit: int) -> DataFrame:
+    """All pages one after the other, the place of each row in the walk beside it; halfway a series is added that sorts first."""
+    pages, token, at = [], "", 0
+    while token is not None:
+        b = QueryBuilder().from_(*_AT).select("value").precision(precision).limit(limit)
+        b = b.order_by_time_desc() if descending else b.order_by_time_asc()
+        page, token = e.page((b.cursor(token) if token else b).build())
+        if not pages:
+            e.store.write(e.spark.createDataFrame([("a", "0", 1, 1.0)], "event_type string, user_id string, ts long, value double"), *_AT, tags=["event_type", "user_id"])
+        pages.append(page)
+    return reduce(DataFrame.unionByName, pages).where("event_type <> 'a'")
+
+
+for _p, _f in (("ns", 1), ("s", 1_000_000_000)):
+    for _d in (True, False):
+        on_store(f"cursor_walk_{'desc' if _d else 'asc'}_{_p}", lambda e, spark, sf_dir, p=_p, d=_d: _walked(e, p, d, max(64, events(spark, sf_dir).df.count() // 5)), f"SELECT event_type, user_id, ts // {_f} AS ts, value FROM ev")
 
 # --- metadata
 
@@ -234,17 +358,61 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number(series_table(m), sorted(m.tags)).select("series_id", *m.tags)
 
 
-def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(m.name, f, k) for m in (events(spark, sf_dir), orders(spark, sf_dir), lineitem(spark, sf_dir)) for f, k in m.fields.items()]
-    return spark.createDataFrame(rows, "measurement string, field string, type string")
+def _catalog(spark: SparkSession, sf_dir: str) -> Store:
+    """Events, orders and line items, each measurement with its fields."""
+    store = _engine(spark, shard=10_000 * DAY).store
+    for m in (events(spark, sf_dir), orders(spark, sf_dir), lineitem(spark, sf_dir)):
+        store.write(m.df.select(*m.tags, "ts", *m.fields), "d", "raw", m.name, tags=m.tags)
+    store.create_retention_policy("d", "hot", 7 * DAY)
+    store.create_database("empty")
+    return store
+
+
+def _listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
 
 
 _SERIES_SQL = f"WITH {EV}, s AS (SELECT DISTINCT event_type, user_id FROM ev) SELECT row_number() OVER (ORDER BY event_type, user_id) AS series_id, event_type, user_id FROM s"
-add("meta_series", _series, _SERIES_SQL)
-add("meta_series_page", lambda spark, sf_dir: _series(spark, sf_dir).orderBy("series_id").offset(10).limit(25), f"{_SERIES_SQL} ORDER BY series_id LIMIT 25 OFFSET 10")
-add("series_search", lambda spark, sf_dir: series_table(events(spark, sf_dir)).where(predicates.series_search("CLI", "metric", ["event_type", "user_id"])), f"WITH {EV} SELECT DISTINCT event_type, user_id FROM ev WHERE contains(lower(event_type), 'cli') OR contains(lower(user_id), 'cli')")
-add("meta_fields", _fields, "SELECT * FROM (VALUES ('events','value','double'),('events','bin','bigint'),('events','event_id','bigint'),('orders','o_totalprice','double'),('orders','o_orderkey','bigint'),('lineitem','l_quantity','double'),('lineitem','l_extendedprice','double'),('lineitem','l_discount','double')) t(measurement, field, type)")
-add("meta_measurements", lambda spark, sf_dir: _fields(spark, sf_dir).select("measurement").distinct(), "SELECT * FROM (VALUES ('events'),('orders'),('lineitem')) t(measurement)")
+add("meta_series_numbered", _series, _SERIES_SQL)
+add("meta_series", lambda spark, sf_dir: stored(spark, sf_dir).store.series(*_AT)[0], _SERIES_SQL)
+add("meta_series_page", lambda spark, sf_dir: stored(spark, sf_dir).store.series(*_AT, offset=10, limit=25)[0], f"{_SERIES_SQL} ORDER BY series_id LIMIT 25 OFFSET 10")
+add("meta_series_of_tag", lambda spark, sf_dir: stored(spark, sf_dir).store.series(*_AT, tags={"event_type": "view"})[0].select("event_type", "user_id"), f"WITH {EV} SELECT DISTINCT event_type, user_id FROM ev WHERE event_type = 'view'")
+add("series_search", lambda spark, sf_dir: stored(spark, sf_dir).store.series(*_AT, search="CLI")[0].select("event_type", "user_id"), f"WITH {EV} SELECT DISTINCT event_type, user_id FROM ev WHERE contains(lower(event_type), 'cli') OR contains(lower(user_id), 'cli')")
+add("meta_fields", lambda spark, sf_dir: (lambda s: _listed(spark, [(m, f, k) for m in s.list_measurements("d") for f, k in s.list_fields("d", m).items()], "measurement string, field string, type string"))(_catalog(spark, sf_dir)), "SELECT * FROM (VALUES ('events','value','double'),('events','bin','bigint'),('events','event_id','bigint'),('orders','o_totalprice','double'),('orders','o_orderkey','bigint'),('lineitem','l_quantity','double'),('lineitem','l_extendedprice','double'),('lineitem','l_discount','double')) t(measurement, field, type)")
+add("meta_measurements", lambda spark, sf_dir: (lambda s: _listed(spark, [(m,) for m in s.list_measurements("d")], "measurement string"))(_catalog(spark, sf_dir)), "SELECT * FROM (VALUES ('events'),('orders'),('lineitem')) t(measurement)")
+add("meta_policies", lambda spark, sf_dir: (lambda s: _listed(spark, [(d, p) for d in s.list_databases() for p in s.list_retention_policies(d) or [""]], "name string, policy string"))(_catalog(spark, sf_dir)), "SELECT * FROM (VALUES ('d','hot'),('d','raw'),('empty','')) t(name, policy)")
+
+
+def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the engine refuses, by code."""
+    e = stored(spark, sf_dir, 2, max_limit=100)
+    q = lambda build: (lambda: e.query_rows(build(QueryBuilder().from_(*_AT)).build()))
+    cases = {
+        "samples": q(lambda b: b.select("value").budget(max_samples=10)),
+        "shards": q(lambda b: b.budget(max_shards=2)),
+        "parts": q(lambda b: b.budget(max_parts=1)),
+        "server limit": q(lambda b: b.limit(101)),
+        "negative limit": q(lambda b: b.limit(-1)),
+        "foreign cursor": q(lambda b: b.select("value").order_by_time_desc().limit(5).cursor(cursors.encode(1, T5, False))),
+        "no such field": q(lambda b: b.select("nothing")),
+        "no such measurement": lambda: e.query_rows(QueryBuilder().from_("d", "raw", "nothing").build()),
+        "default budget": lambda: Engine.query_rows(_limited(e), QueryBuilder().from_(*_AT).select("value").build()),
+    }
+    out = []
+    for name, run in cases.items():
+        try:
+            run()
+            out.append((name, "none"))
+        except QueryError as x:
+            out.append((name, x.code))
+    return _listed(spark, out, "name string, code string")
+
+
+def _limited(e: Engine) -> Engine:
+    return Engine(e.spark, e.store.root, default_budget=Budget(max_samples=10), shard=DAY)
+
+
+add("guards", _guarded, "SELECT * FROM (VALUES ('samples','read-budget-exceeded'),('shards','read-budget-exceeded'),('parts','read-budget-exceeded'),('server limit','invalid-pagination'),('negative limit','invalid-pagination'),('foreign cursor','invalid-cursor'),('no such field','field-not-found'),('no such measurement','measurement-not-found'),('default budget','read-budget-exceeded')) t(name, code)")
 
 # --- downsampling
 
@@ -295,6 +463,38 @@ add("downsample_query", _query_rolled, f"WITH {EV} SELECT event_type, 'p' AS dow
 add("downsample_dry_run", lambda spark, sf_dir: estimate(events(spark, sf_dir), policy(HOUR), T5, T10), f"WITH {EV} SELECT count(DISTINCT event_type) AS groups, CAST(count(value) AS BIGINT) AS samples FROM ev WHERE ts >= {T5} AND ts < {T10}")
 
 
+def _downsampler(spark: SparkSession, sf_dir: str, **more) -> Downsampler:
+    d = stored(spark, sf_dir, 2).downsample
+    d.create(Policy("p", *_AT, "d", "rolled", "events_1d", DAY, tuple(Function(f, "value") for f in ("avg", "count")), ("event_type",), **more))
+    return d
+
+
+def _rolled(d: Downsampler) -> DataFrame:
+    return named(d.store.read("d", "rolled", "events_1d").df.select("event_type", "downsample_policy", "ts", "avg_value", "count_value"))
+
+
+def _run(d: Downsampler, act: Callable[[Downsampler], object]) -> DataFrame:
+    act(d)
+    return _rolled(d)
+
+
+def _late_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run, late samples within the lookback (doubled values), and the next run."""
+    d = _downsampler(spark, sf_dir, initial_start=T0, lookback=3 * DAY)
+    d.run("p", T10)
+    d.store.write(_doubled(spark, sf_dir, f"ts BETWEEN {T0 + 8 * DAY} AND {T0 + 9 * DAY - 1}"), *_AT, tags=["event_type", "user_id"])
+    d.run("p", T10 + DAY)
+    return _rolled(d)
+
+
+_ROLLED = "SELECT event_type, 'p' AS downsample_policy, ts - ts % {day} AS ts, round(avg({v}), 6) AS avg_value, count(value) AS count_value FROM ev WHERE {where} GROUP BY 1, 3"
+add("downsample_run", lambda spark, sf_dir: _run(_downsampler(spark, sf_dir, initial_start=T0), lambda d: (d.run("p", T5), d.run("p", T20))), f"WITH {EV} {_ROLLED.format(day=DAY, v='value', where=f'ts >= {T0} AND ts < {T20}')}")
+add("downsample_run_range", lambda spark, sf_dir: _run(_downsampler(spark, sf_dir), lambda d: (d.run_range("p", T5, T10, advance=True), d.repair("p", T5, T5 + DAY))), f"WITH {EV} {_ROLLED.format(day=DAY, v='value', where=f'ts >= {T5} AND ts < {T10}')}")
+add("downsample_run_late", _late_run, f"WITH {EV} {_ROLLED.format(day=DAY, v=f'CASE WHEN ts BETWEEN {T0 + 8 * DAY} AND {T0 + 9 * DAY - 1} THEN value * 2 ELSE value END', where=f'ts >= {T0} AND ts < {T10 + DAY}')}")
+add("downsample_reset_cleanup", lambda spark, sf_dir: _run(_downsampler(spark, sf_dir, initial_start=T0), lambda d: (d.run("p", T10), d.reset("p", completed_until=T5, cleanup=True, start=T5, end=T10))), f"WITH {EV} {_ROLLED.format(day=DAY, v='value', where=f'ts >= {T0} AND ts < {T5}')}")
+add("downsample_status", lambda spark, sf_dir: (lambda d: (d.run("p", T10), _listed(spark, [(s["policy"], s["completed_until"], s["windows"], s["lag_seconds"]) for s in d.statuses(T10 + DAY)], "name string, completed_until long, windows long, lag_seconds long"))[1])(_downsampler(spark, sf_dir, initial_start=T0)), f"SELECT 'p' AS name, {T10} AS completed_until, CAST(10 AS BIGINT) AS windows, CAST(86400 AS BIGINT) AS lag_seconds")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RUNS["flagship"](spark, sf_dir)
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import QueryError
 
@@ -24,7 +25,8 @@ class Measurement:
 
     ``tie`` names further columns that order samples of equal timestamps. ``series`` names a
     bigint column of series ids, if there is one; else series go by their sorted tags. ``raw``
-    is the stored timestamp column, on which time bounds are put so that they reach the scan.
+    is the stored timestamp column, on which time bounds are put so that they reach the scan;
+    zone-less ones are UTC. ``ids`` is a table of series with lasting ids.
     """
 
     df: DataFrame
@@ -35,7 +37,7 @@ class Measurement:
     series: str | None = None
     raw: str | None = None
     shard: int = 0
-    hidden: tuple[str, ...] = field(default=())
+    ids: DataFrame | None = None
 
     @property
     def order_tags(self) -> list[str]:
@@ -46,9 +48,8 @@ class Measurement:
         df = self.df
         if self.raw:
             for op, value in ((">=", start), ("<=", end)):
-                text = _micros(value, up=op == ">=")
-                if text is not None:
-                    lit = F.lit(text).cast(df.schema[self.raw].dataType)
+                lit = _bound(value, op == ">=", df.schema[self.raw].dataType)
+                if lit is not None:
                     df = df.where(F.col(self.raw) >= lit if op == ">=" else F.col(self.raw) <= lit)
         if self.shard:
             # The partition column follows from ts, but the planner cannot know.
@@ -68,16 +69,27 @@ class Measurement:
         return F.struct(F.col("ts"), *(_quoted(c) for c in (*self.order_tags, *self.tie)))
 
 
-def _micros(ns: int | None, up: bool) -> str | None:
+def _bound(ns: int | None, up: bool, kind: T.DataType) -> Column | None:
+    """A bound as a literal of the stored column's type, whatever the session's time zone."""
     if ns is None:
         return None
     us = -(-ns // 1000) if up else ns // 1000
+    if not isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_micros(F.lit(us))
     try:
-        return (_EPOCH + timedelta(microseconds=us)).isoformat(sep=" ")
+        return F.lit((_EPOCH + timedelta(microseconds=us)).isoformat(sep=" ")).cast(kind)
     except OverflowError:
         return None
 
 
+def micros(ts: Column, kind: str) -> Column:
+    """Microseconds since the epoch of a timestamp column; a zone-less one is UTC, whatever the session's time zone."""
+    if kind != "timestamp_ntz":
+        return F.unix_micros(ts)
+    second = F.extract(F.lit("SECOND"), ts) * 1_000_000
+    return F.unix_date(ts.cast("date")).cast("bigint") * 86_400_000_000 + (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("bigint") * 1_000_000 + second.cast("bigint")
+
+
 def from_dataframe(df: DataFrame, name: str, *, tags: Sequence[str], fields: Sequence[str], ts: str, tie: Sequence[str] = (), unit: str = "ns") -> Measurement:
     """Adapt any table. ``ts`` is a timestamp column, or an integer one in ``unit``.
 
@@ -88,7 +100,7 @@ def from_dataframe(df: DataFrame, name: str, *, tags: Sequence[str], fields: Seq
         if c not in kinds:
             raise QueryError("field-not-found", f"no column {c!r}")
     if kinds[ts].startswith("timestamp"):
-        stamp, raw = F.unix_micros(_quoted(ts).cast("timestamp")) * F.lit(1000), "_raw_ts"
+        stamp, raw = micros(_quoted(ts), kinds[ts]) * F.lit(1000), "_raw_ts"
     else:
         stamp, raw = _quoted(ts).cast("bigint") * F.lit({"ns": 1, "us": 1_000, "ms": 1_000_000, "s": 1_000_000_000}[unit]), None
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 from functools import reduce
 from itertools import accumulate
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .measurement import Measurement
@@ -21,29 +22,36 @@ def series_table(m: Measurement) -> DataFrame:
 def number(series: DataFrame, tags: list[str], start: int = 1) -> DataFrame:
     """Add ``series_id`` from ``start``, ascending with the tags.
 
-    Rows are range-partitioned and numbered within partitions; only the partition sizes go to
-    the driver. ``series`` should be cheap to compute twice (a table, or cached).
+    Rows are range-partitioned and numbered within partitions; the sizes of the partitions are
+    summed up beside and joined. ``series`` should be cheap to compute twice (a table, or
+    cached).
     """
     cols = [F.col(f"`{t}`") for t in tags]
     if not cols:
         return series.withColumn("series_id", F.lit(start).cast("bigint"))
     ranged = series.repartitionByRange(*cols).sortWithinPartitions(*cols)
     ranged = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    sizes = {r["_p"]: (r["lo"], r["n"]) for r in ranged.groupBy("_p").agg(F.min("_i").alias("lo"), F.count("*").alias("n")).collect()}
-    ids = sorted(sizes)
-    before = [0, *accumulate(sizes[p][1] for p in ids)]
-    shift = F.lit(start)
-    for p, b in zip(ids, before, strict=False):
-        shift = F.when(F.col("_p") == p, F.col("_i") - sizes[p][0] + b + start).otherwise(shift)
-    return ranged.withColumn("series_id", shift.cast("bigint")).drop("_p", "_i")
+    # A row for each partition: few enough to go through the driver whatever the number of series.
+    sizes = sorted((r["_p"], r["lo"], r["n"]) for r in ranged.groupBy("_p").agg(F.min("_i").alias("lo"), F.count("*").alias("n")).collect())
+    before = accumulate((n for _, _, n in sizes), initial=start)
+    shifts = series.sparkSession.createDataFrame([(p, b - lo) for (p, lo, _), b in zip(sizes, before, strict=False)], "_p int, _b bigint")
+    return ranged.join(F.broadcast(shifts), "_p").withColumn("series_id", F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
+
+
+def same_tags(tags: Sequence[str]) -> Column:
+    """Equality of tags with their copies ``_s<i>``, nulls equal."""
+    return reduce(and_, (F.col(f"`{t}`").eqNullSafe(F.col(f"_s{i}")) for i, t in enumerate(tags)), F.lit(True))
 
 
 def with_series_ids(m: Measurement) -> Measurement:
-    """The measurement with a ``series_id`` column, by a join with its series table."""
+    """The measurement with a ``series_id`` column, by a join with its table of series.
+
+    Stored measurements bring their table, whose ids never change; others are numbered anew,
+    so their cursors hold while no series is added.
+    """
     if m.series:
         return m
-    ids = number(series_table(m).cache(), sorted(m.tags))
+    ids = m.ids if m.ids is not None else number(series_table(m), sorted(m.tags))
     ids = ids.select(*(F.col(f"`{t}`").alias(f"_s{i}") for i, t in enumerate(m.tags)), "series_id")
-    same = reduce(and_, (F.col(f"`{t}`").eqNullSafe(F.col(f"_s{i}")) for i, t in enumerate(m.tags)), F.lit(True))
-    df = m.df.join(ids, same).drop(*(f"_s{i}" for i in range(len(m.tags))))
+    df = m.df.join(ids, same_tags(m.tags)).drop(*(f"_s{i}" for i in range(len(m.tags))))
     return replace(m, df=df, series="series_id")
