@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import aggregates, registry
 from ..plans.model import Aggregate, Query
 from ..sources.measurement import Measurement
-from .previous import PIECE, with_previous
+from .previous import with_previous
 
 
 @dataclass(frozen=True)
@@ -93,7 +93,7 @@ def _grouped(m: Measurement, q: Query, todo: list[Spec]) -> tuple[DataFrame, lis
     order = m.order()
     need = sorted({s.field for s in todo if s.function in registry.COUNTERS})
     if need:
-        df = with_previous(df, keys, need, order, bounded=0 < q.window <= PIECE)
+        df = with_previous(df, keys, need, order)
     plain = [s for s in todo if s.function != "mode"]
     aggs: list[Column] = []
     for i, s in enumerate(todo):
@@ -145,7 +145,7 @@ def _transformed(m: Measurement, moves: list[Spec], todo: list[Spec]) -> DataFra
     """``difference`` and ``derivative``: a sample for each but a series' first."""
     keys = list(m.tags)
     fields = sorted({s.field for s in moves})
-    df = with_previous(m.df, keys, fields, m.order(), bounded=False)
+    df = with_previous(m.df, keys, fields, m.order())
     samples = []
     for s in moves:
         v, before = F.col(f"`{s.field}`"), F.col(f"_p_{s.field}")

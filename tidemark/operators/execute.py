@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_, or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,14 +28,15 @@ def filtered(m: Measurement, q: Query) -> Measurement:
     df = m.df
     if q.tags:
         df = df.where(predicates.exact_tags(q.tags, tags))
-    if q.where is not None:
-        for part in _conjuncts(q.where):
-            df = df.where(predicates.tree(part, q, tags, m.fields))
+    for part in conjuncts(q.where):
+        df = df.where(predicates.tree(part, q, tags, m.fields))
     return replace(m, df=df)
 
 
-def _conjuncts(e: model_.Expr) -> list[model_.Expr]:
-    return [x for c in e.children for x in _conjuncts(c)] if e.op == "and" and e.children else [e]
+def conjuncts(e: model_.Expr | None) -> list[model_.Expr]:
+    if e is None:
+        return []
+    return [x for c in e.children for x in conjuncts(c)] if e.op == "and" and e.children else [e]
 
 
 def _out_time(df: DataFrame, q: Query) -> DataFrame:
@@ -97,6 +100,33 @@ def rows(m: Measurement, q: Query, *, keep_series: bool = False) -> DataFrame:
     return _out_time(df, q)
 
 
+#: Pages of up to so many rows are looked for in the first series alone, before all series are read.
+PAGE = 10_000
+
+
+def first_series(m: Measurement, q: Query) -> DataFrame | None:
+    """A page in series order from the first few series alone, if they fill it; None if they do not.
+
+    Files are sorted by tags, so a condition on the tags of few series skips the rest of them. Rows are
+    fetched at once: they are no more than the page.
+    """
+    if m.ids is None or not m.tags or not 0 < q.limit <= PAGE or q.offset > PAGE or q.descending or q.cursor or q.aggregates:
+        return None
+    analyze(q, m.fields)
+    tags = sorted(m.tags)
+    first = m.ids.orderBy(*(F.col(f"`{t}`") for t in tags)).limit(9).collect()
+    for some in (first[:1], first[1:9]):
+        if len(first) <= 1 or not some:
+            return None
+        known = first[: 1 if some[0] is first[0] else 9]
+        these = reduce(or_, (reduce(and_, (F.col(f"`{t}`").eqNullSafe(F.lit(r[t])) for t in tags)) for r in known))
+        page = rows(replace(m, df=m.df.where(these)), q)
+        got = page.toArrow()
+        if len(got) == q.limit:
+            return m.df.sparkSession.createDataFrame(got, page.schema)
+    return None
+
+
 def next_cursor(page: pa.Table, q: Query) -> str | None:
     """The token that resumes after a page of ``rows(..., keep_series=True)``; None after the last page."""
     if not q.limit or len(page) < q.limit:
@@ -136,6 +166,30 @@ def arrays(long: DataFrame, names: list[str]) -> DataFrame:
     return got.select(*(f"`{t}`" for t in names), "field", F.col("s.ts").alias("timestamps"), *(F.col(f"s.{v}").alias(v.replace("value_", "values_")) for v in values))
 
 
+@dataclass(frozen=True)
+class Cost:
+    """What a stored query is expected to touch, from the catalog alone."""
+
+    series: int
+    fields: int
+    candidate_shards: int
+    matched_shards: int
+    candidate_parts: int
+    matched_parts: int
+    part_rows: int
+    samples: int
+    plan_class: str
+
+
+def plan_class(q: Query, empty: bool) -> str:
+    """The coarse kind of a query by which its cost is judged."""
+    if empty:
+        return "empty"
+    if q.group_tags or q.window:
+        return "group_aggregate"
+    return "aggregate" if q.aggregates else "bounded_scan" if q.limit or q.cursor else "scan"
+
+
 @dataclass(frozen=True)
 class Explained:
     """What a query will do, from its text and schema alone, and Spark's plan."""
@@ -147,6 +201,7 @@ class Explained:
     plan_class: str
     estimated_shards: int | None
     plan: str
+    cost: Cost | None = None
 
 
 def explain(m: Measurement, q: Query, shards: int | None = None) -> Explained:

@@ -22,6 +22,55 @@ class Stats:
     seconds: float
 
 
+@dataclass(frozen=True)
+class Operator:
+    """One operator of an executed plan, the leaves last; -1 where it does not count."""
+
+    name: str
+    depth: int
+    rows: int
+    millis: int
+
+
+@dataclass(frozen=True)
+class QueryStats:
+    """What a query took: shards and parts by the catalog, rows and seconds as measured."""
+
+    rows: int = 0
+    seconds: float = 0.0
+    shards_scanned: int = 0
+    shards_skipped: int = 0
+    parts: int = 0
+    errors: int = 0
+    budget_errors: int = 0
+    operators: tuple[Operator, ...] = ()
+
+
+def operators(df: DataFrame, action: Callable[[DataFrame], object] = DataFrame.collect) -> tuple[Operator, ...]:
+    """Run ``action`` on ``df`` and read the rows and times that the operators of its final plan have counted."""
+    action(df)
+    out: list[Operator] = []
+
+    def walk(node, depth: int) -> None:
+        name = node.nodeName()
+        inner = {"AdaptiveSparkPlan": "executedPlan", "ResultQueryStage": "plan", "ShuffleQueryStage": "plan", "BroadcastQueryStage": "plan", "TableCacheQueryStage": "plan", "ReusedExchange": "child"}.get(name)
+        if inner:
+            return walk(getattr(node, inner)(), depth)
+        counted = {}
+        it = node.metrics().iterator()
+        while it.hasNext():
+            pair = it.next()
+            counted[pair._1()] = pair._2().value()
+        times = [v for k, v in counted.items() if k in ("pipelineTime", "scanTime", "sortTime", "aggTime", "buildTime")]
+        out.append(Operator(name, depth, int(counted.get("numOutputRows", -1)), int(sum(times)) if times else -1))
+        children = node.children().iterator()
+        while children.hasNext():
+            walk(children.next(), depth + 1)
+
+    walk(df._jdf.queryExecution().executedPlan(), 0)
+    return tuple(out)
+
+
 def with_stats(df: DataFrame, action: Callable[[DataFrame], object]) -> tuple[object, Stats]:
     """Run ``action`` on ``df``; the figures are gathered on the way, without a second pass."""
     seen = Observation(f"query-{uuid.uuid4().hex[:8]}")

@@ -408,6 +408,27 @@ def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(spark, out, "name string, code string")
 
 
+def _costs(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = QueryBuilder().from_(*_AT).where(tag_eq("event_type", "click")).select("value").time_range(T5, T10).build()
+    whole = QueryBuilder().from_(*_AT).aggregate("mean", "value").group_by_time(DAY).build()
+    out = [(name, c.plan_class, c.series, c.candidate_shards, c.matched_shards, c.matched_parts) for name, c in (("scan", e.explain(q).cost), ("windows", e.explain(whole).cost))]
+    return _listed(spark, out, "name string, plan_class string, series long, candidate_shards long, matched_shards long, parts long")
+
+
+on_store("explain_cost", _costs, f""", a AS (SELECT count(DISTINCT (event_type, user_id)) AS s, count(DISTINCT (event_type, user_id)) FILTER (WHERE event_type = 'click') AS c, count(DISTINCT ts // {DAY}) AS d, count(DISTINCT ts // {DAY}) FILTER (WHERE ts // {DAY} BETWEEN {T5 // DAY} AND {T10 // DAY}) AS m FROM ev)
+SELECT 'scan' AS name, 'scan' AS plan_class, c AS series, d AS candidate_shards, m AS matched_shards, 2 AS parts FROM a UNION ALL SELECT 'windows', 'group_aggregate', s, d, d, 2 FROM a""", 2)
+
+
+def _stats(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, shards and parts of a measured query, and the rows its scan and its whole plan counted."""
+    _, s = e.measured(QueryBuilder().from_(*_AT).select("value").time_range(T5, T10).build(), DataFrame.collect, profile=True)
+    scans = sum(o.rows for o in s.operators if o.name.startswith("Scan"))
+    return _listed(spark, [(s.rows, s.shards_scanned, s.shards_skipped, s.parts, scans >= s.rows and len(s.operators) > 3)], "out_rows long, scanned long, skipped long, parts long, profiled boolean")
+
+
+on_store("query_stats", _stats, f"SELECT count(*) FILTER (WHERE ts BETWEEN {T5} AND {T10}) AS out_rows, count(DISTINCT ts // {DAY}) FILTER (WHERE ts // {DAY} BETWEEN {T5 // DAY} AND {T10 // DAY}) AS scanned, count(DISTINCT ts // {DAY}) FILTER (WHERE NOT ts // {DAY} BETWEEN {T5 // DAY} AND {T10 // DAY}) AS skipped, 1 AS parts, true AS profiled FROM ev")
+
+
 def _limited(e: Engine) -> Engine:
     return Engine(e.spark, e.store.root, default_budget=Budget(max_samples=10), shard=DAY)
 

@@ -6,17 +6,19 @@ fields, tags, parts with their live shards, tombstones and what awaits deletion)
 ``series/<db>/<measurement>/from=<id>/`` (tag sets with ids that never change). A write adds a
 part and then replaces the catalog, so a failed write leaves nothing visible. A later part
 wins, within a part the later row, field by field. Replaced and expired files stay until
-``vacuum``, so a DataFrame planned before can still read them. One writer at a time.
+``vacuum``, so a DataFrame planned before can still read them. One process writes at a time;
+its threads may write side by side.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 from collections import Counter
 from collections.abc import Iterable, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,11 +41,12 @@ class Store:
             raise QueryError("invalid-options", "shard must be positive")
         self.spark, self.root, self.shard = spark, root.rstrip("/"), shard
         self.max_series, self.max_fields, self.max_tag_values = max_series, max_fields, max_tag_values
-        self.files = Files(spark)
+        self.files, self.lock = Files(spark), threading.RLock()
         self.catalog = self.files.read_json(f"{self.root}/catalog.json", {"seq": 0, "databases": {}, "trash": []})
 
     def _commit(self) -> None:
-        self.files.write_json(f"{self.root}/catalog.json", self.catalog)
+        with self.lock:
+            self.files.write_json(f"{self.root}/catalog.json", self.catalog)
 
     def _discard(self, paths: Iterable[str]) -> None:
         now = time.time()
@@ -145,24 +148,29 @@ class Store:
         ts, factor = F.col("ts"), NS[precision]
         good = ts.between(-(-MIN_TS // factor), MAX_TS // factor)
         ts = F.when(good, ts * F.lit(factor)).otherwise(F.raise_error(F.lit("invalid-precision: a timestamp is null or overflows nanoseconds")).cast("bigint"))
-        seq = self.catalog["seq"] + 1
+        with self.lock:
+            self.catalog["seq"] = seq = self.catalog["seq"] + 1
         rows = m.df.withColumn("ts", ts).withColumns({"write_ord": F.monotonically_increasing_id(), "shard_start": F.col("ts") - F.pmod("ts", F.lit(self.shard))})
         part = self._write_part(rows, database, policy, measurement, seq, tags, m.fields)
-        series = self._new_series(part, database, measurement, tags, all_tags, seq)
-        base["policies"].setdefault(policy, {"duration": 0})
-        base["fields"][measurement] = known
-        base.setdefault("series", {})[measurement] = series
-        table |= {"tags": all_tags, "parts": [*table["parts"], *[part] * bool(part["shards"])]}
-        base["tables"][f"{policy}/{measurement}"] = table
-        self.catalog["seq"] = seq
-        self._commit()
+        # The files are written side by side; what follows is short and goes one write after the other.
+        with self.lock:
+            table = base["tables"].get(f"{policy}/{measurement}", table)
+            all_tags = list(dict.fromkeys([*table["tags"], *tags]))
+            base.setdefault("series", {})[measurement] = self._new_series(part, database, measurement, tags, all_tags, seq)
+            base["policies"].setdefault(policy, {"duration": 0})
+            base["fields"][measurement] = {**base["fields"].get(measurement, {}), **known}
+            parts = sorted([*table["parts"], *[part] * bool(part["shards"])], key=lambda p: p["seq"])
+            base["tables"][f"{policy}/{measurement}"] = table | {"tags": all_tags, "parts": parts}
+            self._commit()
 
     def _write_part(self, rows: DataFrame, database: str, policy: str, measurement: str, seq: int, tags: list[str], fields: dict[str, str]) -> dict:
         path = f"{self.root}/data/{database}/{policy}/{measurement}/write_seq={seq}"
+        seen = Observation(f"part-{seq}")
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
         # Rebalancing splits a hot shard over several files and joins the rows of a thin one.
         rows.hint("rebalance", "shard_start").sortWithinPartitions(*(f"`{t}`" for t in sorted(tags)), "ts").write.mode("overwrite").partitionBy("shard_start").parquet(path)
         shards = sorted(int(c.rsplit("=", 1)[1]) for c in self.files.children(path) if "shard_start=" in c)
-        return {"path": path, "seq": seq, "tags": tags, "fields": fields, "shards": shards}
+        return {"path": path, "seq": seq, "tags": tags, "fields": fields, "shards": shards, "rows": seen.get["rows"]}
 
     def _new_series(self, part: dict, database: str, measurement: str, tags: list[str], all_tags: list[str], seq: int) -> dict:
         """Give ids to the part's new tag sets, ascending with the tags, after those given before; a broken limit removes the part."""
@@ -339,12 +347,16 @@ class Store:
         By default those of ``compaction_plan``; other shards are not read. Shards that end up
         empty are dropped.
         """
+        with self.lock:
+            return self._compact(database, policy, measurement, min_parts, shards)
+
+    def _compact(self, database: str, policy: str, measurement: str, min_parts: int, shards: Iterable[int] | None) -> list[int]:
         table = self._table(database, policy, measurement)
         todo = self.compaction_plan(database, policy, measurement, min_parts=min_parts) if shards is None else sorted(set(shards) & set(self.shards(database, policy, measurement)))
         if todo:
             fields, keys, chosen = self.list_fields(database, measurement), [*table["tags"], "shard_start", "ts"], set(todo)
             live = resolve_versions(self._scan(database, policy, measurement, [(p, [s for s in p["shards"] if s in chosen]) for p in table["parts"]]), keys, list(fields))
-            seq = self.catalog["seq"] + 1
+            seq = self.catalog["seq"] + 1  # the caller holds the catalog: one compaction, and no write, at a time
             part = self._write_part(live.withColumn("write_ord", F.lit(0).cast("bigint")), database, policy, measurement, seq, list(table["tags"]), fields)
             for p in table["parts"]:
                 self._cut(p, chosen & set(p["shards"]))

@@ -47,7 +47,7 @@ class Policy:
     lookback: int = 0
     initial_start: int = 0
     run_timeout: int = 5 * MINUTE
-    batch_size: int = 1024
+    batch_size: int = 100_000  # windows of one aggregation
     checkpoint_interval: int = 1
     policy_tag: str = "downsample_policy"
     enabled: bool = True
@@ -201,7 +201,8 @@ class Downsampler:
         return f"{self.store.root}/downsample.json"
 
     def _save(self) -> None:
-        self.store.files.write_json(self._path, {n: {"policy": asdict(p), "state": asdict(self.states[n])} for n, p in self.policies.items()})
+        with self.store.lock:
+            self.store.files.write_json(self._path, {n: {"policy": asdict(p), "state": asdict(self.states[n])} for n, p in self.policies.items()})
 
     def _get(self, name: str) -> Policy:
         if name not in self.policies:
@@ -283,17 +284,26 @@ class Downsampler:
         return self.run_range(name, start, end)
 
     def _execute(self, p: Policy, s: State, todo: Plan | None, now: int, *, advance: bool) -> State:
+        """Windows in batches of ``batch_size``, the watermark moved and every ``checkpoint_interval`` batches saved, until all are done or the time is up."""
         s.windows = s.points = 0
+        began = time.monotonic_ns()
         try:
-            if todo:
-                out = rollup(self.store.read(*p.source), p, todo.start, todo.end).cache()
-                s.points = out.count()
-                if s.points:
+            length = p.interval * p.batch_size
+            for k, start in enumerate(range(todo.start, todo.end, length) if todo else ()):
+                if k and p.run_timeout and time.monotonic_ns() - began > p.run_timeout:
+                    raise QueryError("timeout", f"downsample run stopped after {s.windows} of {todo.windows} windows")
+                end = min(start + length, todo.end)
+                out = rollup(self.store.read(*p.source, start, end - 1), p, start, end).cache()
+                n = out.count()
+                if n:
                     self.store.write(out, *p.target, tags=[*p.group_by_tags, p.policy_tag])
                 out.unpersist()
-                s.windows = todo.windows
+                s.points += n
+                s.windows += (end - start) // p.interval
                 if advance:
-                    s.completed_until = max(s.completed_until, todo.end)
+                    s.completed_until = max(s.completed_until, end)
+                if (k + 1) % p.checkpoint_interval == 0:
+                    self._save()
             s.last_success, s.last_error = now, ""
         except Exception as e:
             s.last_error = str(e)[:500]

@@ -11,15 +11,14 @@ from .downsample import Downsampler
 class Scheduler:
     """``tick`` starts what is due; ``start`` ticks in the background until ``stop``.
 
-    Runs share the store's catalog, so they take turns at its lock; Spark jobs of one run are
-    parallel in themselves.
+    Runs go side by side; the store's own lock orders their entries in its catalog.
     """
 
     def __init__(self, downsampler: Downsampler, *, concurrency: int = 2, interval: float = 0.1):
         self._d, self._interval = downsampler, interval
         self._pool = ThreadPoolExecutor(concurrency, "downsample")
         self._running: dict[str, Future] = {}
-        self._lock, self._catalog, self._stop = threading.Lock(), threading.Lock(), threading.Event()
+        self._lock, self._stop = threading.Lock(), threading.Event()
         self._thread: threading.Thread | None = None
 
     def tick(self, now: int | None = None) -> list[str]:
@@ -32,8 +31,7 @@ class Scheduler:
         return started
 
     def _run(self, name: str, now: int) -> None:
-        with self._catalog:
-            self._d.run(name, now)
+        self._d.run(name, now)
 
     def wait(self) -> None:
         """Until the runs started so far have ended; an error of theirs is in the policy's status."""
