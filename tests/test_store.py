@@ -240,3 +240,82 @@ def test_tumbling_stream(spark, tmp_path):
     query.awaitTermination()
     got = spark.table("rolled").groupBy().sum("count_value").first()[0]
     assert got == events.count()
+
+
+# --- pages, zones, pieces
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_pages_meet_every_row_once(engine, descending):
+    """At coarse precision, with ties of time, and with a series added between pages that sorts first."""
+    engine.store.write_points([point(t * 100_000_000, {"host": h}, v=float(t)) for t in range(25) for h in "hij"])
+    seen, token = [], ""
+    while token is not None:
+        b = QueryBuilder().from_("metrics", "autogen", "cpu").precision("s").limit(7)
+        b = b.order_by_time_desc() if descending else b.order_by_time_asc()
+        page, token = engine.page((b.cursor(token) if token else b).build())
+        seen += [(r.host, r.v) for r in page.collect()]
+        if len(seen) == 7:
+            engine.store.write_points([point(1, {"host": "a"}, v=-1.0)])
+    rest = [x for x in seen if x[0] != "a"]
+    assert len(rest) == 75 == len(set(rest))
+    ids = {r.host: r.series_id for r in engine.store.series_ids("metrics", "autogen", "cpu").collect()}
+    assert ids == {"h": 1, "i": 2, "j": 3, "a": 4}
+
+
+def test_time_bounds_in_any_zone(spark):
+    from tidemark import queries
+
+    def both(kind):
+        df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+        if kind == "timestamp":
+            df = df.withColumn("ts", F.timestamp_micros(F.lit(queries.T0 // 1000) + F.col("event_id") * 3_600_000_000))
+        m = queries.from_dataframe(df, "events", tags=("event_type",), fields=("value",), ts="ts")
+        return sorted(r.ts for r in m.scan(queries.T5, queries.T10).df.collect())
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        got = {}
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got[zone] = both("timestamp_ntz"), both("timestamp")
+        assert got["UTC"] == got["America/New_York"] == got["Asia/Kolkata"] and all(got["UTC"])
+        assert all(queries.T5 <= t <= queries.T10 for t in got["UTC"][0])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("fn", ["increase", "rate", "irate", "difference"])
+def test_pieces_change_nothing(spark, monkeypatch, fn):
+    from tidemark import queries
+    from tidemark.operators import execute, previous
+
+    def run():
+        b = QueryBuilder().from_measurement("events").aggregate(fn, "value")
+        if fn != "difference":
+            b = b.group_by_tags("event_type").group_by_time(7 * 24 * HOUR)
+        return sorted(map(str, queries.named(execute.rows(queries.events(spark, "/root/testdata/sf0.001"), b.build())).collect()))
+
+    whole = run()
+    monkeypatch.setattr(previous, "ROWS", 20)
+    assert run() == whole and whole
+
+
+def test_files_stay_until_vacuum(engine):
+    for i in range(3):
+        engine.store.write_points([point(i, {"host": "a"}, v=float(i)), point(HOUR + i, {"host": "b"}, v=1.0)])
+    old = engine.query_rows(QueryBuilder().from_("metrics", "autogen", "cpu").build())
+    assert engine.store.compaction_plan("metrics", "autogen", "cpu", min_parts=4) == []
+    assert engine.store.compact("metrics", "autogen", "cpu", shards=[0]) == [0]
+    assert len(rows(engine)) == 6 == old.count()
+    assert engine.store.compaction_plan("metrics", "autogen", "cpu") == [HOUR]
+    assert engine.store.vacuum() == 0 and engine.store.vacuum(0) == 3 and len(rows(engine)) == 6
+
+
+def test_limit_reads_first_series_alone(engine):
+    engine.store.write_points([point(t, {"host": f"h{i}"}, v=float(t)) for i in range(5) for t in range(20)])
+    q = QueryBuilder().from_("metrics", "autogen", "cpu").time_range(1, 18).offset(2).limit(10).build()
+    got = engine.query_rows(q)
+    assert [(r.host, r.ts) for r in got.collect()] == [("h0", t) for t in range(3, 13)]
+    assert "FileScan" not in got._jdf.queryExecution().toString()
+    assert len(rows(engine, build=lambda b: b.where(field_gt("v", 18.5)).limit(4))) == 4
