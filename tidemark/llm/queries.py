@@ -43,8 +43,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents come in two deliveries; the second scan finds in the ledger what the first one has seen."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).cast("long").alias("version"), "text")
-    _, found = secrets.scan_versions(docs)
+    later = F.xxhash64("path") < 0
+    paths, ledger = secrets.scan(docs.where(~later))
+    more, ledger = secrets.scan(docs.where(later), ledger)
+    found = secrets.findings(paths.unionByName(more), ledger)
     return _span_digest(found.withColumnRenamed("path", "doc_id"), ("assign", "access", "hex"))
 
 

@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, save
@@ -49,19 +49,20 @@ def find(text: str, rules: Sequence[tuple[Rule, re.Pattern]]) -> dict[str, list[
     return {r.name: [] if r.words and not any(w in low for w in r.words) else [{"kind": r.name, "version": r.version, "start": m.start(), "end": m.end()} for m in p.finditer(text) if r.accept(m)] for r, p in rules}
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
-    """Scan ``versions(path, version, text)`` against a ledger of earlier scans.
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
+    """Scan what ``versions(path, version, text)`` adds to a ledger of earlier scans.
 
-    Returns ``(ledger, findings)``: the ledger with the new pairs, and one row ``(path,
-    version, blob, spans)`` for each input row, spans of the current rules by start and then
-    rule order. Null text: the empty blob. Null or repeated paths and versions: a row each.
-    Empty input: no rows, the ledger as it was. Extra columns are not read.
+    Returns ``(paths, ledger)``: ``(path, version, blob)`` of each input row, and the ledger
+    with the new pairs. Both are tables in the shared folder. Of a blob one copy is scanned, and
+    only for the pairs of rule and version that the ledger lacks. Null text: the empty blob.
+    Null or repeated paths and versions: a row each. Empty input: no paths, the ledger as it
+    was. Extra columns are not read.
     """
     rules = tuple(rules)
     text = F.coalesce(F.col("text"), F.lit(""))
     held = versions.select("path", "version", text.alias("text"), F.sha2(text, 256).alias("blob"))
     paths = save(held.select("path", "version", "blob"))
-    wanted = F.array(*(F.concat_ws(":", F.lit(r.name), F.lit(r.version)) for r in rules))
+    wanted = _pairs(rules)
     blobs = paths.groupBy("blob").agg(F.min(F.struct("path", "version")).alias("at"))
     if ledger is not None:
         seen = ledger.select("blob", F.explode("scanned").alias("pair")).groupBy("blob").agg(F.collect_set("pair").alias("seen"))
@@ -71,17 +72,36 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: S
     one = blobs.select(F.col("blob").alias("b"), F.col("at.path").alias("p"), F.col("at.version").alias("v"), "todo").hint("shuffle_hash")
     fresh = held.join(one, (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("p")) & F.col("version").eqNullSafe(F.col("v"))).select("blob", "text", "todo")
 
-    def scan(rows: dict) -> dict:
-        ready = {f"{r.name}:{r.version}": (r, re.compile(r.pattern)) for r in rules}
+    def ready() -> dict:
+        return {f"{r.name}:{r.version}": (r, re.compile(r.pattern)) for r in rules}
+
+    def look(rows: dict, ready: dict) -> dict:
         spans = [[s for x in find(text, [ready[k] for k in todo]).values() for s in x] for text, todo in zip(rows["text"], rows["todo"], strict=True)]
         return {"blob": rows["blob"], "scanned": rows["todo"], "spans": spans}
 
-    new = save(map_rows(fresh, scan, LEDGER).dropDuplicates(["blob"]))
-    whole = new if ledger is None else ledger.select(new.columns).unionByName(new)
-    found = whole.where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s")).select("blob", "s.*")
-    found = found.where(F.array_contains(wanted, F.concat_ws(":", "kind", "version")))
+    new = save(map_rows(fresh, look, LEDGER, ready).dropDuplicates(["blob"]))
+    return paths, new if ledger is None else ledger.select(new.columns).unionByName(new)
+
+
+def _pairs(rules: Sequence[Rule]) -> Column:
+    return F.array(*(F.concat_ws(":", F.lit(r.name), F.lit(r.version)) for r in rules))
+
+
+def findings(paths: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """``(path, version, blob, spans)``, a row for each of ``paths``: spans of the rules as they are now, by start and then rule order.
+
+    A blob that was never scanned has no spans. Empty input: no rows.
+    """
+    found = ledger.where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s")).select("blob", "s.*")
+    found = found.where(F.array_contains(_pairs(rules), F.concat_ws(":", "kind", "version")))
     order = F.array_position(F.array(*(F.lit(r.name) for r in rules)), F.col("kind"))
     found = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", order.alias("at"), "kind", "end"))).alias("spans"))
     spans = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    return whole, paths.join(found, "blob", "left").select("path", "version", "blob", F.coalesce(spans, none).alias("spans"))
+    return paths.join(found, "blob", "left").select("path", "version", "blob", F.coalesce(spans, none).alias("spans"))
+
+
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
+    """``scan`` and the ``findings`` of its rows: ``(ledger, findings)``."""
+    paths, ledger = scan(versions, ledger, rules)
+    return ledger, findings(paths, ledger, rules)
