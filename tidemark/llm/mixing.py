@@ -13,6 +13,7 @@ left at the end is small. A hot source is merely more chunks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 from math import ceil
 
 import numpy as np
@@ -27,22 +28,32 @@ CHUNK = 4096
 FAN_IN = 64
 
 
-def fill_targets(sizes: Sequence[int], weights: Sequence[int], cap: int = 3) -> list[float]:
-    """Share ``sum(sizes)`` by weight; no target above ``cap`` times its size, the excess is reshared."""
-    target = [0.0] * len(sizes)
-    rest, open_ = sum(sizes), list(range(len(sizes)))
-    while open_:
-        whole = sum(weights[i] for i in open_)
-        over = [i for i in open_ if rest * weights[i] > cap * sizes[i] * whole]
-        if not over:
-            for i in open_:
-                target[i] = rest * weights[i] / whole
+def targets(sizes: DataFrame, weights: Sequence[int], cap: int = 3) -> DataFrame:
+    """``sizes(source, size, ...)`` with ``s``, the source's place by code point (null last), and its ``target``.
+
+    The sum of all sizes is shared by weight; no target is above ``cap`` times its size, the
+    excess is reshared. The share of a weight only rises from round to round, so each round is
+    one sum over the table, and what is capped stays so. Sources stay distributed; a row for
+    each partition and the sums go to the driver.
+    """
+    order = F.asc_nulls_last("source")
+    ranged = save(sizes.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}))
+    parts = sorted((r["_p"], r["lo"], r["n"]) for r in ranged.groupBy("_p").agg(F.min("_i").alias("lo"), F.count("*").alias("n")).collect())
+    before = accumulate((n for _, _, n in parts), initial=0)
+    shifts = sizes.sparkSession.createDataFrame([(p, b - lo) for (p, lo, _), b in zip(parts, before, strict=False)], "_p int, _b long")
+    table = ranged.join(F.broadcast(shifts), "_p").withColumn("s", F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
+    table = table.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("s") % len(weights)).cast("int") + 1).cast("long"))
+    wide = lambda x: x.cast("decimal(38,0)")
+    capped, known = F.lit(False), None
+    while True:
+        got = table.agg(F.sum("size").alias("all"), F.sum(F.when(capped, cap * F.col("size")).otherwise(0)).alias("used"), F.sum(F.when(capped, 0).otherwise(F.col("w"))).alias("whole")).first()
+        rest, whole = int(got["all"] or 0) - int(got["used"] or 0), int(got["whole"] or 0)
+        if (rest, whole) == known or not whole:
             break
-        for i in over:
-            target[i] = float(cap * sizes[i])
-        rest -= sum(cap * sizes[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
-    return target
+        known = rest, whole
+        capped = wide(F.lit(rest)) * F.col("w") > wide(cap * F.col("size")) * F.lit(whole)
+    share = F.lit(float(rest)) * F.col("w") / F.lit(float(max(whole, 1)))
+    return table.withColumn("target", F.when(capped, (cap * F.col("size")).cast("double")).otherwise(share)).drop("w")
 
 
 def pivot(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -83,31 +94,25 @@ def _round(seed: int, level: int, last: bool):
     return run
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: int = 20, max_sources: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: int = 20) -> DataFrame:
     """Rows ``(doc_id, source, size, source_size, target, copies, taken)``, one per input row.
 
     Null text: size 0 and nothing taken. Null source: a source of its own, last in order. Null
     or repeated ids: each row is rounded by itself. Empty input: no rows. Other columns are not
-    read, whatever their names. Sources come from the driver's table of sources, which is
-    refused above ``max_sources`` rows. Equal input gives equal output in whatever order rows
-    or partitions come: chunks and draws follow hashes of ids.
+    read, whatever their names. Equal input gives equal output in whatever order rows or
+    partitions come: chunks and draws follow hashes of ids and texts, so rows without ids are
+    spread too.
     """
-    spark = docs.sparkSession
-    rows = save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
-    table = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
-    if len(table) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    table.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    target = fill_targets([r["size"] for r in table], [weights[i % len(weights)] for i in range(len(table))], cap)
-    plan = spark.createDataFrame(
-        [(r.source, i, r["size"], t, int(f), f - int(f), ceil(r.n / CHUNK)) for i, (r, t) in enumerate(zip(table, target, strict=True)) for f in [t / r["size"] if r["size"] else 0.0]],
-        "name string, s int, source_size long, target double, base int, p double, chunks long",
-    )
+    text, key = F.col(text_col), F.col(id_col)
+    rows = save(docs.select(key.alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(key, text, F.lit(seed)).alias("h")))
+    plan = save(targets(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), weights, cap))
+    part = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)
+    plan = plan.select(F.col("source").alias("name"), "s", F.col("size").alias("source_size"), "target", F.floor(part).cast("int").alias("base"), (part - F.floor(part)).alias("p"), F.ceil(F.col("n") / CHUNK).alias("chunks"))
     rows = rows.join(plan, rows["source"].eqNullSafe(plan["name"])).drop("name")
-    h = F.xxhash64("doc_id", "size", F.lit(seed))
-    rows = rows.withColumns({"h": h, "chunk": F.pmod(h, F.col("chunks")), "p": F.when(F.col("size") > 0, F.col("p")).otherwise(F.lit(0.0))}).drop("chunks")
+    rows = rows.withColumns({"chunk": F.pmod("h", F.col("chunks")), "p": F.when(F.col("size") > 0, F.col("p")).otherwise(F.lit(0.0))}).drop("chunks")
+    most = plan.agg(F.max("chunks")).first()[0]
     whole, open_ = rows.where("p = 0"), rows.where("p > 0")
-    parts, left, level = [whole.drop("h", "chunk")], max([1, *(ceil(r.n / CHUNK) for r in table)]), 0
+    parts, left, level = [whole.drop("h", "chunk")], most or 1, 0
     while True:
         last = left <= 1
         got = save(open_.groupBy("s", "chunk").applyInPandas(_round(seed, level, last), open_.schema))
