@@ -192,33 +192,43 @@ def _across(members: DataFrame, reps: DataFrame, sets: DataFrame, found: DataFra
     open_ = comp.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     open_ = save(open_)
     comp = comp.withColumn("tried", (F.col("doc_id") == F.col("low")) | (F.col("doc_id") == F.col("hub"))).select("key", "size", "doc_id", "component", "tried")
-    open_ = save(comp.join(open_, "key").join(reps.select("doc_id", "n", "sig"), "doc_id").join(sets, "doc_id"))
+    open_ = save(comp.join(open_, "key").join(reps.select("doc_id", "n", "sig"), "doc_id"))
     # Members fall into blocks; each pair of blocks is a task's work, whatever the bucket's size.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     dealt = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
 
-    def compare(table):
+    def compare(table, verify: bool):
         import pyarrow as pa
 
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, COORDS)
         rows = sig.view(np.uint64)
         doc, comp, n, mine, tried = (table[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "n", "mine", "tried"))
         lo, hi, key = (table[c][0].as_py() for c in ("lo", "hi", "key"))
-        full = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        full = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()] if verify else None
         left, right = np.flatnonzero((mine == lo) & ~tried), np.flatnonzero((mine == hi) & ~tried)
-        comp, out = comp.copy(), []
+        comp, out, likely = comp.copy(), [], np.zeros(len(doc), bool)
         for i in left.tolist():
             c = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
             if lo == hi:
                 c = c[c > i]
             c = c[(sig[c] == sig[i]).mean(axis=1) >= LEAST]
             first = (rows[c] == rows[i]).argmax(axis=1)
-            for j in c[_keys(rows[i][first], first) == key].tolist():
+            c = c[_keys(rows[i][first], first) == key]
+            if not verify:
+                likely[c] = True
+                likely[i] |= len(c) > 0
+                continue
+            for j in c.tolist():
                 if comp[i] != comp[j] and linked(full[i], full[j], percent):
                     comp[comp == comp[j]] = comp[i]
                     out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+        if not verify:
+            return pa.table({"key": pa.array([key] * likely.sum(), pa.int64()), "lo": pa.array([lo] * likely.sum(), pa.int32()), "hi": pa.array([hi] * likely.sum(), pa.int32()), "doc_id": doc[likely]})
         return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
 
-    return save(dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long"))
+    # By signatures alone first; full sets go only to blocks where they can meet a likely partner.
+    likely = save(dealt.groupBy("key", "lo", "hi").applyInArrow(lambda t: compare(t, False), "key long, lo int, hi int, doc_id long"))
+    dealt = dealt.join(likely, ["key", "lo", "hi", "doc_id"]).join(sets, "doc_id")
+    return save(dealt.groupBy("key", "lo", "hi").applyInArrow(lambda t: compare(t, True), "a long, b long"))
