@@ -7,7 +7,7 @@ suffix of a corpus is more than is needed:
    windows pick the same gram at the same offset, so a window can repeat only where its gram
    does. A gram answers for a run of neighbouring windows; their union is its context.
 2. Grams that occur once are done with. Of the others, contexts that occur twice are repeated
-   throughout.
+   throughout; contexts are the same when their cryptographic digests are (BLAKE2b, 128 bits).
 3. For the rest the suffixes that start at their windows are sorted: prefix polynomial hashes
    and a binary search find how far two suffixes agree, so that a comparison takes
    ``log2(LENGTH)`` steps; a mergesort runs over all groups of a batch at once; neighbours that
@@ -26,7 +26,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +35,7 @@ from .minhash import mixed
 LENGTH = 400
 GRAM = 200
 #: A gram with more distinct contexts than this is sorted in chunks of about so many.
-CROWD = 2048
+CROWD = 512
 #: So many windows are sorted at a time.
 WINDOWS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -271,16 +270,16 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             sha.append(hashlib.sha256(raw).hexdigest())
             got = grams(np.frombuffer(raw, np.uint8), powers, length, gram)
             view = memoryview(raw)
-            context.append(np.fromiter((xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(got[1].tolist(), got[2].tolist(), strict=True)), np.uint64, len(got[0])))
+            context += [hashlib.blake2b(view[a : b + length], digest_size=16).digest() for a, b in zip(got[1].tolist(), got[2].tolist(), strict=True)]
             parts.append(got)
         at, first, last, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
         ends = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).astype(np.int32)
-        fields = {"fp": fp.view(np.int64), "context": np.concatenate(context).view(np.int64), "at": at.astype(np.int32), "first": first.astype(np.int32), "last": last.astype(np.int32)}
+        fields = {"fp": fp.view(np.int64), "context": pa.array(context, pa.binary()), "at": at.astype(np.int32), "first": first.astype(np.int32), "last": last.astype(np.int32)}
         picked = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], names=list(fields)))
         return {"doc_id": rows["doc_id"], "rid": rows["rid"], "n_bytes": size, "sha": sha, "picked": picked}
 
     kind = dict(rows.dtypes)["doc_id"]
-    drawn = save(map_rows(rows, sample, f"doc_id {kind}, rid string, n_bytes long, sha string, picked array<struct<fp:long,context:long,at:int,first:int,last:int>>"))
+    drawn = save(map_rows(rows, sample, f"doc_id {kind}, rid string, n_bytes long, sha string, picked array<struct<fp:long,context:binary,at:int,first:int,last:int>>"))
     spread = drawn.select("rid", F.explode("picked").alias("p"))
     often = save(spread.select("p.fp").groupBy("fp").count().where("count > 1").select("fp"))
     again = save(spread.select("rid", "p.*").join(often, "fp"))
