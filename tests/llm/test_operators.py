@@ -373,13 +373,17 @@ def test_quality(spark):
             t[r.randrange(60)] = r.choice(["idiot", "scum", "Moron,"])
         rows.append((i, " ".join(t), "s"))
         labels.append((i, int(not bad), int(toxic)))
-    table = docs(spark, [*rows, (None, None, None), (999, "", None), (0, rows[0][1], "s")])
+    table = docs(spark, [*rows, (None, None, None), (999, "", None), (0, rows[0][1], "s"), (998, "long " * 40_000, "s")])
     grades = quality.graded(spark.createDataFrame([*labels[:300], (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int"))
     model = quality.train(table, grades)
     assert list(model.thresholds) == sorted(model.thresholds)
     got = {x.doc_id: x for x in quality.score(table, model).collect()}
     right = sum((got[i].p_best >= quality.KEEP) == (q == 1 and t == 0) for i, q, t in labels[300:])
     assert right >= 95
+    for i, t, _ in rows[::20]:
+        s = sum(model.weights.get(f, 0.0) for f in quality.Features()(t))
+        tails = [1 / (1 + np.exp(th - s)) for th in model.thresholds]
+        assert got[i].p_best == pytest.approx(tails[-1]) and got[i].expected_grade == pytest.approx(sum(tails))
     assert got[0].component_id == "x" and 0 <= got[999].expected_grade <= 2
     empty = quality.train(table, grades.limit(0))
     assert all(x.p_best > 0.99 for x in quality.score(table, empty).collect())
@@ -581,7 +585,7 @@ def test_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK", 8)
     monkeypatch.setattr(mixing, "FAN_IN", 3)
     r = random.Random(1)
-    rows = [(i, " ".join(words(r.randrange(1, 30), i)), r.choice(["b", "a", "a", "a", "É", None])) for i in range(600)] + [(9001, None, "a"), (9002, "", "zero"), (None, "one two", "b"), (3, "x", "a"), (3, "x", "a")]
+    rows = [(i, " ".join(words(r.randrange(1, 30), i)), r.choice(["b", "a", "a", "a", "É", None])) for i in range(600)] + [(9001, None, "a"), (9002, "", "zero"), (9003, "long " * 30_000, "big"), (None, "one two", "b"), (3, "x", "a"), (3, "x", "a")]
     table = docs(spark, rows)
     got = mixing.mix(table).collect()
     again = mixing.mix(table.repartition(7)).collect()
