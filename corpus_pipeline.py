@@ -29,8 +29,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document with the least id stays.
 
-    Null, empty and blank texts are no copies of each other and stay, as do null ids unless
-    another row has their text. Rows that repeat an id go or stay together. Empty input: no rows.
+    Null, empty and blank texts are no copies of each other and stay, as do rows without an id.
+    Rows that repeat an id go or stay together. Empty input: no rows.
     """
     found = minhash.near_duplicates(docs, k=5, percent=80)
     lost = found.where("not kept and component_id <> doc_id").select("doc_id").distinct()
