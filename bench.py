@@ -2,8 +2,10 @@
 
 ``BENCH_SF_DIR`` names the tables (default sf0.1), ``BENCH_CPUS`` the local cores (default 8).
 Each query runs once to warm up and then ``BENCH_REPEATS`` times; the least time counts. The
-three ``scale_*`` queries run on generated points: 10 million points of 100 series, one a
-second for each, rolled up to one-minute windows with five functions.
+``scale_*`` queries run on generated points in a store: 10 million points of 100 series, one a
+second for each. ``scale_downsample_10m`` reads them from the store, rolls them up to one-minute
+windows with five functions and writes the target; ``scale_rollup_query`` reads that target;
+``scale_compact_10m`` rewrites two parts of 10 million points in all.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from tidemark.engine import Engine
 from tidemark.operators import execute
 from tidemark.plans.builder import QueryBuilder
 from tidemark.sources.measurement import Measurement
-from tidemark.streaming.downsample import MINUTE, Function, Policy, normalized, rollup
+from tidemark.streaming.downsample import MINUTE, Function, Policy, normalized
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -58,13 +60,25 @@ def main() -> None:
     root = tempfile.mkdtemp(prefix="bench-")
     try:
         p = normalized(Policy("p", "d", "a", "cpu", "d", "b", "cpu_1m", MINUTE, tuple(Function(f, "usage") for f in ("avg", "min", "max", "count", "last")), ("host",)))
-        found["scale_downsample_10m"] = timed(lambda: rollup(points(spark), p), 1)
         engine = Engine(spark, f"{root}/store", shard=24 * 60 * MINUTE)
         began = time.perf_counter()
         engine.store.write(points(spark).df, "d", "a", "cpu", tags=["host"])
         found["scale_write_10m"] = round(time.perf_counter() - began, 3)
         q = QueryBuilder().from_("d", "a", "cpu").time_range(3600 * 10**9, 7200 * 10**9).limit(2000).build()
         found["scale_range_limit_2000"] = timed(lambda: engine.query_rows(q), REPEATS)
+        engine.downsample.create(p)
+        for _ in range(2):  # the first run warms up
+            engine.downsample.reset("p", allow_replace=True)
+            began = time.perf_counter()
+            engine.downsample.run_range("p", 0, 100_020 * 10**9)
+            found["scale_downsample_10m"] = round(time.perf_counter() - began, 3)
+        rolled = QueryBuilder().from_("d", "b", "cpu_1m").time_range(3600 * 10**9, 7200 * 10**9).limit(2000).build()
+        found["scale_rollup_query"] = timed(lambda: engine.query_rows(rolled), REPEATS)
+        for half in (0, 1):
+            engine.store.write(points(spark).df.where(F.col("ts") / 10**9 % 2 == half), "d", "two", "cpu", tags=["host"])
+        began = time.perf_counter()
+        engine.store.compact("d", "two", "cpu")
+        found["scale_compact_10m"] = round(time.perf_counter() - began, 3)
         whole = QueryBuilder().from_measurement("cpu").aggregate("avg", "usage").group_by_tags("host").group_by_time(60 * MINUTE).build()
         found["scale_window_avg_10m"] = timed(lambda: execute.rows(points(spark), whole), 1)
     finally:
