@@ -230,7 +230,7 @@ _DEAD = f"((write_seq <= 1 AND ts BETWEEN {T5} AND {T5 + DAY}) OR (write_seq <=
 add("delete_tombstones", lambda spark, sf_dir: resolve_versions(anti_deleted(_versions(spark, sf_dir), _stones(spark), ["event_type", "user_id"], DAY), _KEYS, ["value", "bin"]).fillna(-1, ["bin"]), f"WITH {_VER}, live AS (SELECT * FROM ver WHERE NOT {_DEAD}), n AS ({_NEWEST.format(source='live')}) SELECT event_type, user_id, ts, value, coalesce(bin, -1) AS bin FROM n")
 
 
-# --- the store: every query below writes its measurements into a store of its own and reads them back
+# --- the store: queries that change it write their measurements into a store of their own, others share one
 
 
 def _engine(spark: SparkSession, **options) -> Engine:
@@ -264,11 +264,22 @@ def _doubled(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
     return events(spark, sf_dir).df.where(where).select("event_type", "user_id", "ts", (F.col("value") * 2).alias("value"))
 
 
+_SHARED: dict[tuple, Engine] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, batches: int = 1) -> Engine:
+    """Events in a store that is only read, written once in an application."""
+    key = spark.sparkContext.applicationId, sf_dir, batches
+    if key not in _SHARED:
+        _SHARED[key] = stored(spark, sf_dir, batches)
+    return _SHARED[key]
+
+
 _ROWS = "SELECT event_type, user_id, ts, value FROM ev"
 
 
-def on_store(name: str, act: Callable[[Engine, SparkSession, str], DataFrame], sql: str, batches: int = 1, **options) -> None:
-    add(name, lambda spark, sf_dir: act(stored(spark, sf_dir, batches, **options), spark, sf_dir), f"WITH {EV} {sql}")
+def on_store(name: str, act: Callable[[Engine, SparkSession, str], DataFrame], sql: str, batches: int = 1, *, make=stored) -> None:
+    add(name, lambda spark, sf_dir: act(make(spark, sf_dir, batches), spark, sf_dir), f"WITH {EV} {sql}")
 
 
 def _overwritten(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,9 +319,9 @@ def _compacted(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_rows(e)
 
 
-on_store("store_write_read", lambda e, *_: stored_rows(e, lambda b: b.select("value", "bin", "event_id")), "SELECT event_type, user_id, ts, value, bin, event_id FROM ev", 3)
-on_store("store_time_range", lambda e, *_: stored_rows(e, lambda b: b.select("value").time_range(T5, T10)), f"{_ROWS} WHERE ts BETWEEN {T5} AND {T10}")
-on_store("store_limit_series_major", lambda e, *_: stored_rows(e, lambda b: b.select("value").time_range(T5, T20).limit(40)), f"{_ROWS} WHERE ts BETWEEN {T5} AND {T20} ORDER BY event_type, user_id, ts LIMIT 40")
+on_store("store_write_read", lambda e, *_: stored_rows(e, lambda b: b.select("value", "bin", "event_id")), "SELECT event_type, user_id, ts, value, bin, event_id FROM ev", 3, make=shared)
+on_store("store_time_range", lambda e, *_: stored_rows(e, lambda b: b.select("value").time_range(T5, T10)), f"{_ROWS} WHERE ts BETWEEN {T5} AND {T10}", make=shared)
+on_store("store_limit_series_major", lambda e, *_: stored_rows(e, lambda b: b.select("value").time_range(T5, T20).limit(40)), f"{_ROWS} WHERE ts BETWEEN {T5} AND {T20} ORDER BY event_type, user_id, ts LIMIT 40", make=shared)
 on_store("store_overwrite", _overwritten, "SELECT event_type, user_id, ts, CASE WHEN event_id % 3 = 0 THEN value * 2 ELSE value END AS value, bin FROM ev WHERE CASE WHEN event_id % 3 = 0 THEN value * 2 ELSE value END > 20")
 on_store("delete_range", lambda e, *_: _deleted(e, start=T5, end=T10), f"{_ROWS} WHERE NOT ts BETWEEN {T5} AND {T10}", 2)
 on_store("delete_by_tag", lambda e, *_: _deleted(e, start=T5, end=T20, tags={"event_type": "view"}), f"{_ROWS} WHERE NOT (ts BETWEEN {T5} AND {T20} AND event_type = 'view')")
@@ -319,8 +330,8 @@ on_store("delete_then_rewrite", _rewritten, f"SELECT event_type, user_id, ts, CA
 on_store("retention_cutoff", lambda e, *_: _retained(e, False), f"{_ROWS} WHERE ts >= {T20 - 7 * DAY}")
 on_store("retention_policy", lambda e, *_: _retained(e, True), f"{_ROWS} WHERE ts >= {T20 - 7 * DAY}", 2)
 on_store("compaction", _compacted, f"SELECT event_type, user_id, ts, CASE WHEN event_id % 3 = 0 THEN value * 2 ELSE value END AS value FROM ev WHERE NOT (ts BETWEEN {T5} AND {T10} AND event_type = 'view')", 3)
-on_store("store_aggregate", lambda e, *_: named(stored_rows(e, lambda b: b.aggregate("mean", "value").aggregate("count", "bin").group_by_tags("event_type").group_by_time(DAY))), f"SELECT event_type, (ts // {DAY}) * {DAY} AS ts, round(avg(value), 6) AS avg_value, count(bin) AS count_bin FROM ev GROUP BY 1, 2", 2)
-on_store("ndjson_stream", lambda e, *_: execute.as_json(stored_rows(e)).select(F.from_json("line", "event_type string, user_id string, ts long, value double").alias("r")).select("r.*"), _ROWS)
+on_store("store_aggregate", lambda e, *_: named(stored_rows(e, lambda b: b.aggregate("mean", "value").aggregate("count", "bin").group_by_tags("event_type").group_by_time(DAY))), f"SELECT event_type, (ts // {DAY}) * {DAY} AS ts, round(avg(value), 6) AS avg_value, count(bin) AS count_bin FROM ev GROUP BY 1, 2", 2, make=shared)
+on_store("ndjson_stream", lambda e, *_: execute.as_json(stored_rows(e)).select(F.from_json("line", "event_type string, user_id string, ts long, value double").alias("r")).select("r.*"), _ROWS, make=shared)
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,10 +385,10 @@ def _listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 _SERIES_SQL = f"WITH {EV}, s AS (SELECT DISTINCT event_type, user_id FROM ev) SELECT row_number() OVER (ORDER BY event_type, user_id) AS series_id, event_type, user_id FROM s"
 add("meta_series_numbered", _series, _SERIES_SQL)
-add("meta_series", lambda spark, sf_dir: stored(spark, sf_dir).store.series(*_AT)[0], _SERIES_SQL)
-add("meta_series_page", lambda spark, sf_dir: stored(spark, sf_dir).store.series(*_AT, offset=10, limit=25)[0], f"{_SERIES_SQL} ORDER BY series_id LIMIT 25 OFFSET 10")
-add("meta_series_of_tag", lambda spark, sf_dir: stored(spark, sf_dir).store.series(*_AT, tags={"event_type": "view"})[0].select("event_type", "user_id"), f"WITH {EV} SELECT DISTINCT event_type, user_id FROM ev WHERE event_type = 'view'")
-add("series_search", lambda spark, sf_dir: stored(spark, sf_dir).store.series(*_AT, search="CLI")[0].select("event_type", "user_id"), f"WITH {EV} SELECT DISTINCT event_type, user_id FROM ev WHERE contains(lower(event_type), 'cli') OR contains(lower(user_id), 'cli')")
+add("meta_series", lambda spark, sf_dir: shared(spark, sf_dir).store.series(*_AT)[0], _SERIES_SQL)
+add("meta_series_page", lambda spark, sf_dir: shared(spark, sf_dir).store.series(*_AT, offset=10, limit=25)[0], f"{_SERIES_SQL} ORDER BY series_id LIMIT 25 OFFSET 10")
+add("meta_series_of_tag", lambda spark, sf_dir: shared(spark, sf_dir).store.series(*_AT, tags={"event_type": "view"})[0].select("event_type", "user_id"), f"WITH {EV} SELECT DISTINCT event_type, user_id FROM ev WHERE event_type = 'view'")
+add("series_search", lambda spark, sf_dir: shared(spark, sf_dir).store.series(*_AT, search="CLI")[0].select("event_type", "user_id"), f"WITH {EV} SELECT DISTINCT event_type, user_id FROM ev WHERE contains(lower(event_type), 'cli') OR contains(lower(user_id), 'cli')")
 add("meta_fields", lambda spark, sf_dir: (lambda s: _listed(spark, [(m, f, k) for m in s.list_measurements("d") for f, k in s.list_fields("d", m).items()], "measurement string, field string, type string"))(_catalog(spark, sf_dir)), "SELECT * FROM (VALUES ('events','value','double'),('events','bin','bigint'),('events','event_id','bigint'),('orders','o_totalprice','double'),('orders','o_orderkey','bigint'),('lineitem','l_quantity','double'),('lineitem','l_extendedprice','double'),('lineitem','l_discount','double')) t(measurement, field, type)")
 add("meta_measurements", lambda spark, sf_dir: (lambda s: _listed(spark, [(m,) for m in s.list_measurements("d")], "measurement string"))(_catalog(spark, sf_dir)), "SELECT * FROM (VALUES ('events'),('orders'),('lineitem')) t(measurement)")
 add("meta_policies", lambda spark, sf_dir: (lambda s: _listed(spark, [(d, p) for d in s.list_databases() for p in s.list_retention_policies(d) or [""]], "name string, policy string"))(_catalog(spark, sf_dir)), "SELECT * FROM (VALUES ('d','hot'),('d','raw'),('empty','')) t(name, policy)")
@@ -416,7 +427,7 @@ def _costs(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 on_store("explain_cost", _costs, f""", a AS (SELECT count(DISTINCT (event_type, user_id)) AS s, count(DISTINCT (event_type, user_id)) FILTER (WHERE event_type = 'click') AS c, count(DISTINCT ts // {DAY}) AS d, count(DISTINCT ts // {DAY}) FILTER (WHERE ts // {DAY} BETWEEN {T5 // DAY} AND {T10 // DAY}) AS m FROM ev)
-SELECT 'scan' AS name, 'scan' AS plan_class, c AS series, d AS candidate_shards, m AS matched_shards, 2 AS parts FROM a UNION ALL SELECT 'windows', 'group_aggregate', s, d, d, 2 FROM a""", 2)
+SELECT 'scan' AS name, 'scan' AS plan_class, c AS series, d AS candidate_shards, m AS matched_shards, 2 AS parts FROM a UNION ALL SELECT 'windows', 'group_aggregate', s, d, d, 2 FROM a""", 2, make=shared)
 
 
 def _stats(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,7 +437,7 @@ def _stats(e: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(spark, [(s.rows, s.shards_scanned, s.shards_skipped, s.parts, scans >= s.rows and len(s.operators) > 3)], "out_rows long, scanned long, skipped long, parts long, profiled boolean")
 
 
-on_store("query_stats", _stats, f"SELECT count(*) FILTER (WHERE ts BETWEEN {T5} AND {T10}) AS out_rows, count(DISTINCT ts // {DAY}) FILTER (WHERE ts // {DAY} BETWEEN {T5 // DAY} AND {T10 // DAY}) AS scanned, count(DISTINCT ts // {DAY}) FILTER (WHERE NOT ts // {DAY} BETWEEN {T5 // DAY} AND {T10 // DAY}) AS skipped, 1 AS parts, true AS profiled FROM ev")
+on_store("query_stats", _stats, f"SELECT count(*) FILTER (WHERE ts BETWEEN {T5} AND {T10}) AS out_rows, count(DISTINCT ts // {DAY}) FILTER (WHERE ts // {DAY} BETWEEN {T5 // DAY} AND {T10 // DAY}) AS scanned, count(DISTINCT ts // {DAY}) FILTER (WHERE NOT ts // {DAY} BETWEEN {T5 // DAY} AND {T10 // DAY}) AS skipped, 1 AS parts, true AS profiled FROM ev", make=shared)
 
 
 def _limited(e: Engine) -> Engine:
