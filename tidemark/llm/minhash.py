@@ -187,32 +187,38 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _across(members: DataFrame, reps: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links between bucket members of different components that the hubs have not tried; of those that join the same two, one for each block at least."""
+    """Links between bucket members of different components that the hubs have not tried; of those that join the same two, one for each block at least.
+
+    Of two members of different components one at least is outside the bucket's largest one. So
+    the outsiders are compared with all members, not all with all: both sides fall into blocks,
+    and each pair of blocks is a task's work, whatever the bucket's size.
+    """
     comp = members.where("size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = comp.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_ = save(open_)
-    comp = comp.withColumn("tried", (F.col("doc_id") == F.col("low")) | (F.col("doc_id") == F.col("hub"))).select("key", "size", "doc_id", "component", "tried")
-    open_ = save(comp.join(open_, "key").join(reps.select("doc_id", "n", "sig"), "doc_id"))
-    # Members fall into blocks; each pair of blocks is a task's work, whatever the bucket's size.
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    dealt = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
+    counts = comp.groupBy("key", "component").agg(F.count("*").alias("n"))
+    open_ = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_ = save(open_.select("key", F.col("top.component").alias("main"), blocks(F.col("size") - F.col("top.n")).alias("outer"), blocks(F.col("size")).alias("whole")))
+    comp = comp.where("doc_id <> low and doc_id <> hub").select("key", "doc_id", "component").join(open_, "key")
+    comp = comp.withColumns({"out": F.col("component") != F.col("main"), "lo": F.pmod(F.xxhash64("doc_id"), "outer").cast("int"), "hi": F.pmod(F.xxhash64("doc_id"), "whole").cast("int")})
+    comp = save(comp.join(reps.select("doc_id", "n", "sig"), "doc_id"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["key", "doc_id", "component", "out", "n", "sig"]
+    outside = comp.where("out").select(*kept, "lo", upto("whole").alias("hi"), F.lit(True).alias("left"))
+    dealt = outside.unionByName(comp.select(*kept, upto("outer").alias("lo"), "hi", F.lit(False).alias("left")))
 
     def compare(table, verify: bool):
         import pyarrow as pa
 
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, COORDS)
         rows = sig.view(np.uint64)
-        doc, comp, n, mine, tried = (table[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "n", "mine", "tried"))
+        doc, comp, n, out, side = (table[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "n", "out", "left"))
         lo, hi, key = (table[c][0].as_py() for c in ("lo", "hi", "key"))
         full = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()] if verify else None
-        left, right = np.flatnonzero((mine == lo) & ~tried), np.flatnonzero((mine == hi) & ~tried)
-        comp, out, likely = comp.copy(), [], np.zeros(len(doc), bool)
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        comp, links, likely = comp.copy(), [], np.zeros(len(doc), bool)
         for i in left.tolist():
-            c = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if lo == hi:
-                c = c[c > i]
+            # Two outsiders meet twice; the lesser one's turn counts.
+            c = right[(comp[right] != comp[i]) & (~out[right] | (doc[right] > doc[i])) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
             c = c[(sig[c] == sig[i]).mean(axis=1) >= LEAST]
             first = (rows[c] == rows[i]).argmax(axis=1)
             c = c[_keys(rows[i][first], first) == key]
@@ -223,12 +229,13 @@ def _across(members: DataFrame, reps: DataFrame, sets: DataFrame, found: DataFra
             for j in c.tolist():
                 if comp[i] != comp[j] and linked(full[i], full[j], percent):
                     comp[comp == comp[j]] = comp[i]
-                    out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+                    links.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
         if not verify:
-            return pa.table({"key": pa.array([key] * likely.sum(), pa.int64()), "lo": pa.array([lo] * likely.sum(), pa.int32()), "hi": pa.array([hi] * likely.sum(), pa.int32()), "doc_id": doc[likely]})
-        return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
+            some = int(likely.sum())
+            return pa.table({"key": pa.array([key] * some, pa.int64()), "lo": pa.array([lo] * some, pa.int32()), "hi": pa.array([hi] * some, pa.int32()), "left": side[likely], "doc_id": doc[likely]})
+        return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate("ab")})
 
     # By signatures alone first; full sets go only to blocks where they can meet a likely partner.
-    likely = save(dealt.groupBy("key", "lo", "hi").applyInArrow(lambda t: compare(t, False), "key long, lo int, hi int, doc_id long"))
-    dealt = dealt.join(likely, ["key", "lo", "hi", "doc_id"]).join(sets, "doc_id")
+    likely = save(dealt.groupBy("key", "lo", "hi").applyInArrow(lambda t: compare(t, False), "key long, lo int, hi int, left boolean, doc_id long"))
+    dealt = dealt.join(likely, ["key", "lo", "hi", "left", "doc_id"]).join(sets, "doc_id")
     return save(dealt.groupBy("key", "lo", "hi").applyInArrow(lambda t: compare(t, True), "a long, b long"))
