@@ -19,7 +19,6 @@ from collections.abc import Iterable, Mapping
 from functools import reduce
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,49 +168,10 @@ class Store:
         path = f"{self.root}/data/{database}/{policy}/{measurement}/write_seq={seq}"
         seen = Observation(f"part-{seq}")
         rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
-        # Ranges of keys: a hot shard goes over several files, and rows of one key are neighbours in one file.
-        key = ["shard_start", *(f"`{t}`" for t in sorted(tags)), "ts"]
-        rows.repartitionByRange(*key).sortWithinPartitions(*key).write.mode("overwrite").partitionBy("shard_start").parquet(path)
+        # Rebalancing splits a hot shard over several files and joins the rows of a thin one.
+        rows.hint("rebalance", "shard_start").sortWithinPartitions("shard_start", *(f"`{t}`" for t in sorted(tags)), "ts").write.mode("overwrite").partitionBy("shard_start").parquet(path)
         shards = sorted(int(c.rsplit("=", 1)[1]) for c in self.files.children(path) if "shard_start=" in c)
-        return {"path": path, "seq": seq, "tags": tags, "fields": fields, "shards": shards, "rows": seen.get["rows"], "unique": bool(shards) and self._is_unique(path, sorted(tags))}
-
-    def _is_unique(self, path: str, tags: list[str]) -> bool:
-        """Whether no two rows of a written part have one key: keys alone are read back, and neighbours in each file compared.
-
-        Ranges of keys do not overlap, so a key lies in one file. Where tasks read pieces of a
-        file, a piece's last key is compared with the others' first ones.
-        """
-        cols = [*tags, "ts"]
-        schema = T.StructType([*(T.StructField(t, T.StringType()) for t in tags), T.StructField("ts", T.LongType())])
-        out = pa.schema([("file", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("twice", pa.bool_())])
-
-        def runs(batches):
-            before, found, twice = None, [], False
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                t = pa.Table.from_batches([batch])
-                t = t if before is None else pa.concat_tables([before, t]).combine_chunks()
-                file = t["file"].to_numpy()
-                parted, same = file[1:] != file[:-1], file[1:] == file[:-1]
-                for c in cols:
-                    x, y = t[c].slice(0, len(t) - 1), t[c].slice(1)
-                    same &= pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y))).to_numpy()
-                twice |= bool(same.any())
-                key = lambda i: repr([t[c][i].as_py() for c in cols])  # noqa: B023, E731
-                found = found or [[int(file[0]), key(0), None]]
-                for i in parted.nonzero()[0].tolist():
-                    found[-1][2] = key(i)
-                    found.append([int(file[i + 1]), key(i + 1), None])
-                before = t.slice(len(t) - 1)
-                found[-1][2] = key(len(t) - 1)
-            yield pa.RecordBatch.from_pylist([dict(zip(out.names, (*x, twice), strict=True)) for x in found], out)
-
-        keys = self.spark.read.schema(schema).parquet(path).select(*(F.col(f"`{c}`") for c in cols), F.xxhash64("_metadata.file_path").alias("file"))
-        pieces = keys.mapInArrow(runs, "file long, first string, last string, twice boolean").groupBy("file").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"), F.max("twice").alias("twice"))
-        # A piece of one row begins as it ends, which counts as a seam here: the part is then merely read with care.
-        seam = F.size(F.array_intersect("firsts", "lasts")) > 0
-        return not pieces.where(F.col("twice") | ((F.size("firsts") > 1) & seam)).limit(1).count()
+        return {"path": path, "seq": seq, "tags": tags, "fields": fields, "shards": shards, "rows": seen.get["rows"]}
 
     def _new_series(self, part: dict, database: str, measurement: str, tags: list[str], all_tags: list[str], seq: int) -> dict:
         """Give ids to the part's new tag sets, ascending with the tags, after those given before; a broken limit removes the part."""
