@@ -307,6 +307,22 @@ def test_repeated_bytes_at_production_size(spark, monkeypatch):
     assert {x.doc_id: (x.n_bytes, x.n_removed, x.kept_sha256) for x in got} == want
 
 
+def test_crowded_grams_make_few_rows(spark, monkeypatch):
+    """A line in many documents: no table between the steps has a row for each of its windows, whether the line repeats or is too short to."""
+    made, kept = [], suffix_dedup.save
+    monkeypatch.setattr(suffix_dedup, "save", lambda df, *a: (made.append(t := kept(df, *a)), t)[1])
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    lines = [word(n) for n in (280, 480, 700)]
+    texts = [word(r.randrange(250, 300)) + lines[i % 3] + word(r.randrange(250, 300)) for i in range(90)]
+    got = suffix_dedup.repeated_bytes(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), crowd=4).collect()
+    raws = [t.encode() for t in texts]
+    want = {i: (sum(g), hashlib.sha256(bytes(b for b, x in zip(t, g, strict=True) if not x)).hexdigest()) for i, (t, g) in enumerate(zip(raws, removed_by_brute(raws, 400), strict=True))}
+    assert {x.doc_id: (x.n_removed, x.kept_sha256) for x in got} == want
+    assert sum(n > 0 for n, _ in want.values()) == 60
+    assert max(t.count() for t in made) < 20 * len(texts)
+
+
 def test_suffix_sort_survives_hash_collisions(monkeypatch):
     data = np.frombuffer(b"abcabdabcabeabcabd", np.uint8)
     monkeypatch.setattr(suffix_dedup, "prefix_hashes", lambda d, p: (p.need(len(d) + 1), np.zeros(len(d) + 1, np.uint64))[1])
