@@ -180,6 +180,19 @@ def test_find_pii(spark, net):
     assert pii.find_pii(docs(spark, []), net=net).count() == 0
 
 
+def test_many_texts_are_decoded_together(monkeypatch):
+    """What a pass costs besides its characters is paid once for many texts, and each gets the spans it gets alone."""
+    net, calls, encode = pii.Tagger(3), [], pii.Decoder.emissions
+    monkeypatch.setattr(pii.Decoder, "emissions", lambda self, parts: (calls.append(len(parts)), encode(self, parts))[1])
+    texts = [t[: 20 + i % 150] for i, (t, _) in enumerate(pii.labelled_texts(300, 4))] + ["", "7", "x" * 500]
+    together = pii.tagged_spans(texts, net)
+    assert calls == [len(texts)]
+    assert together == [pii.tagged_spans([t], net)[0] for t in texts] and any(together)
+    x = np.linspace(-4, 4, 999, dtype=np.float32)[None]
+    pii._squash(y := x.copy(), np.empty_like(x))
+    assert np.abs(y - pii._squashed(x.astype(float))[0]).max() < 1e-6
+
+
 # --- 2 decontamination
 
 
