@@ -242,6 +242,30 @@ def test_tumbling_stream(spark, tmp_path):
     assert got == events.count()
 
 
+# --- numbering
+
+
+def test_ids_follow_the_tags_however_rows_are_dealt(engine, spark, monkeypatch):
+    """Many series over partitions that are not joined again, so that a sample of them decides what goes where."""
+    from tidemark.sources import series
+
+    monkeypatch.setattr(series, "PIECE", 1_000, raising=False)
+    conf, n = "spark.sql.adaptive.coalescePartitions.enabled", 20_000
+    tags = [F.when(F.col("id") % 7 > 0, F.concat(F.lit("é"), (F.col("id") % 7).cast("string"))).alias("kind"), (F.col("id") * 7919 % n).cast("string").alias("host")]
+    df = spark.range(n).select(*tags, F.lit(1).cast("bigint").alias("ts"), F.lit(1.0).alias("v"))
+    want = sorted((r.kind or "", r.host) for r in df.collect())
+    spark.conf.set(conf, "false")
+    try:
+        engine.store.write(df, "d", "a", "m", tags=["kind", "host"])
+        for got in (engine.store.series("d", "a", "m")[0], series.number(df.select("kind", "host"), ["kind", "host"])):
+            # Ids are by tags in the order of their names in the store.
+            found = sorted(got.collect(), key=lambda r: r.series_id)
+            assert [r.series_id for r in found] == list(range(1, n + 1))
+            assert [(r.kind or "", r.host) for r in found] == (want if got.columns[0] == "kind" else sorted(want, key=lambda x: (x[1], x[0])))
+    finally:
+        spark.conf.unset(conf)
+
+
 # --- pages, zones, pieces
 
 
