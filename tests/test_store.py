@@ -287,6 +287,41 @@ def test_pages_meet_every_row_once(engine, descending):
     assert ids == {"h": 1, "i": 2, "j": 3, "a": 4}
 
 
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("where", ["stored", "registered"])
+def test_long_pages_are_not_fetched(engine, spark, monkeypatch, descending, where):
+    """Pages above the bound have the rows and tokens of fetched ones: instants of many series, times before 1970, an offset."""
+    from pyspark.sql import DataFrame
+
+    from tidemark.operators import execute
+    from tidemark.sources.measurement import from_dataframe
+
+    data = [point(t, {"host": f"h{i:02}"}, v=float(t)) for i in range(15) for t in (-3 * HOUR - 7, -1, 0, 1, 5, 6, 7, HOUR, 40 * HOUR + i % 2)]
+    if where == "stored":
+        engine.store.write_points(data)
+    else:
+        df = spark.createDataFrame([(p["tags"]["host"], p["ts"], p["fields"]["v"]) for p in data], "host string, ts long, v double")
+        engine.register(from_dataframe(df, "cpu", tags=("host",), fields=("v",), ts="ts"))
+
+    def walk(limit, offset=0):
+        got, token = [], ""
+        while token is not None:
+            b = QueryBuilder()
+            b = (b.from_("metrics", "autogen", "cpu") if where == "stored" else b.from_measurement("cpu")).limit(limit).offset(offset)
+            b = b.order_by_time_desc() if descending else b.order_by_time_asc()
+            page, token = engine.page((b.cursor(token) if token else b).build())
+            got.append(([(r.host, r.ts, r.v) for r in page.collect()], token))
+        return got
+
+    want = [walk(45), walk(40, 70)]
+    assert len({r for rows_, _ in want[0] for r in rows_}) == 135 and [len(r) for r, _ in want[0]] == [45, 45, 45, 0]
+    monkeypatch.setattr(execute, "PAGE", 4)
+    monkeypatch.setattr(execute, "STRETCHES", 5, raising=False)
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: pytest.fail("a page was fetched"))
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda df: pytest.fail("a page was fetched"))
+    assert [walk(45), walk(40, 70)] == want
+
+
 def test_time_bounds_in_any_zone(spark):
     from tidemark import queries
 
