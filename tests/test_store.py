@@ -344,6 +344,24 @@ def test_time_bounds_in_any_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
+def test_zoneless_times_become_numbers_without_decimals(spark):
+    """Before 1970, with gaps and doubled hours of the session's zone; each row is written through this."""
+    from datetime import datetime, timedelta
+
+    from tidemark.sources.measurement import micros
+
+    texts = ["0001-01-01 00:00:00", "1582-10-10 01:02:03.000004", "1969-12-31 23:59:59.999999", "2024-03-10 02:30:00.123456", "2024-11-03 01:30:00.1", "9999-12-31 23:59:59.999999"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", micros(F.col("t").cast("timestamp_ntz"), "timestamp_ntz").alias("us"))
+            assert {r.t: r.us for r in df.collect()} == {t: (datetime.fromisoformat(t) - datetime(1970, 1, 1)) // timedelta(microseconds=1) for t in texts}
+            assert "decimal" not in df._jdf.queryExecution().toString().lower() and df.dtypes[1] == ("us", "bigint")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 @pytest.mark.parametrize("fn", ["increase", "rate", "irate", "difference"])
 def test_pieces_change_nothing(spark, monkeypatch, fn):
     from tidemark import queries
